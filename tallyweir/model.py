@@ -5,11 +5,18 @@ Column names, accepted values, formats and limits below are fixed values of the
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+
+_TYPES = {
+    "string": T.StringType, "double": T.DoubleType, "boolean": T.BooleanType, "int": T.IntegerType,
+    "bigint": T.LongType, "timestamp": T.TimestampType,
+}
 
 
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(" ".join(text.split()))
+def _ddl(text: str) -> T.StructType:
+    """``name type, ...`` as a schema; ``StructType.fromDDL`` would need a running session at import."""
+    pairs = (column.split() for column in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]()) for name, kind in pairs])
 
 
 # --- source tables ----------------------------------------------------------------------------
