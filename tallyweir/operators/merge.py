@@ -86,7 +86,8 @@ def upsert_documents(
     """
     newest = latest_documents(batch, written, keys)
     untouched = target.join(newest.select(*keys), list(keys), "left_anti")
-    return untouched.unionByName(newest, allowMissingColumns=True)
+    added = [name for name in newest.columns if name not in target.columns]
+    return untouched.unionByName(newest, allowMissingColumns=True).select(*target.columns, *added)
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, key: str | Sequence[str]) -> DataFrame:

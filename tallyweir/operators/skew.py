@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweir.session import planned_bytes
+from tallyweir.session import scan_size
 
 MAX_HEAVY_KEYS = 1_000
 TRACKED_KEYS = 20_000
@@ -37,9 +37,11 @@ def heavy_keys(
 ) -> list:
     """Keys owning at least ``min_rows`` rows (None for NULL), at most ``MAX_HEAVY_KEYS`` of them.
 
-    Correctness never depends on the answer: any list gives the same join result.
+    Correctness never depends on the answer: any list gives the same join result. An input of
+    unknown size is looked at.
     """
-    if planned_bytes(df) < min_bytes:
+    scanned = scan_size(df)
+    if scanned.complete and scanned.known_bytes < min_bytes:
         return []
     sketch = df.select(
         F.expr(f"approx_top_k(`{key}`, {MAX_HEAVY_KEYS}, {TRACKED_KEYS})").alias("top")

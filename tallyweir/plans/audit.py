@@ -93,7 +93,8 @@ def logged_stage(
     return counts
 
 
-def _counted(frames: Mapping[str, DataFrame | None]) -> dict[str, int | None]:
+def table_counts(frames: Mapping[str, DataFrame | None]) -> dict[str, int | None]:
+    """Rows per frame, counted in one job; None for a missing frame."""
     present = {name: df for name, df in frames.items() if df is not None}
     counts = {row["table_name"]: row["row_count"] for row in row_counts(present).collect()}
     return {name: counts.get(name.lower()) for name in frames}
@@ -144,7 +145,7 @@ def reconcile(
     run_date: str,
 ) -> DataFrame:
     """R01-R04 as a frame. What reaches the driver is one number per table, counted in one job a layer."""
-    checks = reconciliation_rows(_counted(sources), _counted(silver), _counted(gold))
+    checks = reconciliation_rows(table_counts(sources), table_counts(silver), table_counts(gold))
     return rows_frame(
         spark, [(*check, run_id, run_date) for check in checks], model.RECONCILIATION
     )

@@ -12,7 +12,7 @@ from tallyweir import model
 from tallyweir.operators.checks import gate_nonempty
 from tallyweir.plans import audit, consumption, gold, serving, silver
 from tallyweir.plans.audit import StageCounts, logged_stage
-from tallyweir.session import size_shuffles
+from tallyweir.session import size_tasks
 from tallyweir.sinks.tables import Lake
 from tallyweir.sources.tables import SourceUnavailable
 
@@ -56,7 +56,7 @@ def run_medallion(
     """
     spark = lakes.gold.spark
     run_date = run_date or f"{datetime.now(timezone.utc):%Y-%m-%d}"
-    size_shuffles(spark, *(df for df in sources.values() if df is not None))
+    size_tasks(spark, *(df for df in sources.values() if df is not None))
     views: dict[str, DataFrame] = {}
 
     def stage(name, work):
@@ -77,14 +77,14 @@ def run_medallion(
 
     def build_gold() -> StageCounts:
         frames = silver_frames(lakes)
-        read = audit._counted({name: frames[name] for name in model.SILVER_TABLES})
+        read = audit.table_counts({name: frames[name] for name in model.SILVER_TABLES})
         written = gold.refresh_gold(lakes.gold, frames, loaded_at, days)
         return StageCounts(sum(read.values()), sum(written.values()))
 
     def publish() -> StageCounts:
         frames = gold_frames(lakes)
         views.update(serving.publish(lakes.serving, frames, claim))
-        return StageCounts(sum(audit._counted(frames).values()), 0)
+        return StageCounts(sum(audit.table_counts(frames).values()), 0)
 
     def reconcile() -> StageCounts:
         results = audit.reconcile(

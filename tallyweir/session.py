@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
-SHUFFLE_PARTITION_BYTES = 128 << 20
-MAX_SHUFFLE_PARTITIONS = 200_000
+# Reducers: about 256 MiB each, but no more than the map-status bookkeeping of a wide shuffle bears.
+SHUFFLE_PARTITION_BYTES = 256 << 20
+MAX_SHUFFLE_PARTITIONS = 50_000
+# Mappers: larger splits once a scan would need more tasks than this, up to 1 GiB each.
+MAX_SCAN_TASKS = 100_000
+MAX_SPLIT_BYTES = 1 << 30
+UNKNOWN_SIZE = (1 << 63) - 1
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -35,6 +41,7 @@ def local_session(cpus: str = "*", app: str = "tallyweir") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tallyweir-wh-"))
@@ -44,22 +51,46 @@ def local_session(cpus: str = "*", app: str = "tallyweir") -> SparkSession:
     return configure(spark)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; file sizes for a scan, never an underestimate for a join."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+class ScanSize(NamedTuple):
+    """Bytes of the inputs of known size, and whether that is all of them."""
 
+    known_bytes: int
+    complete: bool
 
-def size_shuffles(spark: SparkSession, *scans: DataFrame) -> int:
-    """Raise the shuffle width so that a partition of the scanned volume stays near 128 MiB.
 
-    AQE coalesces what turns out too fine, so the width is only ever raised, never lowered.
+def scan_size(df: DataFrame) -> ScanSize:
+    """What a plan reads: the file sizes Catalyst knows, summed over the leaves of the optimized plan.
+
+    Leaves, because the estimate of a join is the product of its sides. A leaf without statistics
+    (an RDD behind it) is given the largest long, which says nothing about its size.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = [size for size in sizes if size < UNKNOWN_SIZE]
+    return ScanSize(sum(known), len(known) == len(sizes))
+
+
+def size_tasks(spark: SparkSession, *scans: DataFrame) -> None:
+    """Fit shuffle width and scan split size to the volume scanned.
+
+    Both are only ever raised: AQE coalesces a shuffle that turns out too fine, and a session that
+    was set up wider stays so. A 100 TB refresh gets 100,000 scan tasks and 50,000 reducers.
     """
-    wanted = sum(planned_bytes(scan) for scan in scans) // SHUFFLE_PARTITION_BYTES
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = max(current, min(wanted, MAX_SHUFFLE_PARTITIONS))
-    if width != current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(width))
-    return width
+    volume = sum(scan_size(scan).known_bytes for scan in scans)
+    _raise(spark, "spark.sql.shuffle.partitions",
+           min(volume // SHUFFLE_PARTITION_BYTES, MAX_SHUFFLE_PARTITIONS))
+    _raise(spark, "spark.sql.files.maxPartitionBytes",
+           min(volume // MAX_SCAN_TASKS, MAX_SPLIT_BYTES))
+
+
+def _raise(spark: SparkSession, setting: str, wanted: int) -> None:
+    # A byte setting may come with a unit, "134217728b" or "128m"; the JVM parser knows them all.
+    current = spark.conf.get(setting)
+    now = int(current) if current.isdigit() else (
+        spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(current)
+    )
+    if wanted > now:
+        spark.conf.set(setting, str(wanted))
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

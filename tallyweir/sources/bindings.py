@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweir.session import configure, size_shuffles
+from tallyweir.session import configure, size_tasks
 from tallyweir.sources.tables import read_table
 
 # Declared, so that a scan reads no footer to infer it.
@@ -29,12 +29,18 @@ def read_driver(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{table}.parquet", DRIVER_SCHEMAS[table])
 
 
+def _key(prefix: str, number: str, digits: int) -> str:
+    """SQL text of a key: the prefix and the number padded to at least ``digits``."""
+    text = f"cast({number} as string)"
+    return f"concat('{prefix}', lpad({text}, greatest({digits}, length({text})), '0'))"
+
+
 def transactions(orders: DataFrame) -> DataFrame:
     return orders.selectExpr(
-        "format_string(if(o_orderkey % 101 = 0, 'BAD-%09d', 'TXN-%09d'), o_orderkey) AS TransactionID",
-        "format_string('ACCT%09d', o_custkey * 2 + o_orderkey % 2) AS AccountID",
-        "if(o_orderkey % 97 = 0, NULL, format_string('CUST-%06d', o_custkey)) AS CustomerID",
-        "format_string('MER%06d', o_orderkey % 12) AS MerchantID",
+        f"if(o_orderkey % 101 = 0, {_key('BAD-', 'o_orderkey', 9)}, {_key('TXN-', 'o_orderkey', 9)}) AS TransactionID",
+        f"{_key('ACCT', '(o_custkey * 2 + o_orderkey % 2)', 9)} AS AccountID",
+        f"if(o_orderkey % 97 = 0, NULL, {_key('CUST-', 'o_custkey', 6)}) AS CustomerID",
+        f"{_key('MER', '(o_orderkey % 12)', 6)} AS MerchantID",
         "o_orderdate AS TransactionTimestamp",
         """CASE WHEN o_orderkey % 83 = 0 THEN NULL
                 WHEN o_orderkey % 89 = 0 THEN -o_totalprice
@@ -45,7 +51,7 @@ def transactions(orders: DataFrame) -> DataFrame:
         "concat('Category ', o_orderkey % 12 % 9) AS MerchantCategory",
         "o_orderpriority AS Channel",
         "element_at(array('US', 'CA', 'GB', 'DE', 'AU'), cast(o_orderkey % 5 + 1 as int)) AS Country",
-        "format_string('DEV-%06d', o_custkey * 3 + o_orderkey % 3) AS DeviceID",
+        f"{_key('DEV-', '(o_custkey * 3 + o_orderkey % 3)', 6)} AS DeviceID",
         "o_orderkey % 2 = 0 AS CardPresent",
         "o_orderstatus AS TransactionStatus",
     )
@@ -54,12 +60,12 @@ def transactions(orders: DataFrame) -> DataFrame:
 def transaction_risk_scores(orders: DataFrame) -> DataFrame:
     """Scores of most transactions (some above 100), and some for transactions that do not exist."""
     scored = orders.where("o_orderkey % 13 <> 0").selectExpr(
-        "format_string('TXN-%09d', o_orderkey) AS TransactionID",
+        f"{_key('TXN-', 'o_orderkey', 9)} AS TransactionID",
         "cast(o_orderkey * 37 % 10700 as double) / 100 AS RiskScore",
         "o_orderdate AS ScoredTimestamp",
     )
     orphaned = orders.where("o_orderkey % 200 = 0").selectExpr(
-        "format_string('TXN-9%08d', o_orderkey) AS TransactionID",
+        f"{_key('TXN-9', 'o_orderkey', 8)} AS TransactionID",
         "cast(50 as double) AS RiskScore",
         "o_orderdate AS ScoredTimestamp",
     )
@@ -76,7 +82,7 @@ def transaction_risk_scores(orders: DataFrame) -> DataFrame:
 
 def merchants(supplier: DataFrame) -> DataFrame:
     return supplier.selectExpr(
-        "format_string('MER%06d', s_suppkey) AS MerchantID",
+        f"{_key('MER', 's_suppkey', 6)} AS MerchantID",
         "s_name AS MerchantName",
         "if(s_acctbal < 0, NULL, concat('Category ', s_suppkey % 9)) AS MerchantCategory",
         "concat('City ', s_nationkey) AS City",
@@ -91,14 +97,14 @@ _ISO = "yyyy-MM-dd''T''HH:mm:ss.SSS''Z''".replace("''", "\\'")
 
 def digital_sessions(events: DataFrame) -> DataFrame:
     return events.where("event_type <> 'error'").selectExpr(
-        "format_string('SESSION-%09d', event_id) AS id",
-        "if(event_id % 211 = 0, NULL, format_string('SESSION-%09d', event_id)) AS sessionId",
-        "if(event_id % 223 = 0, NULL, format_string('CUST-%06d', user_id)) AS customerId",
-        """if(event_id % 53 = 0, '{"deviceId":',
-             format_string('{"deviceId":"DEV-%06d","deviceType":"%s","operatingSystem":"%s","appVersion":"5.1.0"}',
-                           user_id * 3 + event_id % 3,
-                           if(event_id % 2 = 0, 'Mobile', 'Desktop'),
-                           if(event_id % 2 = 0, 'iOS 18.3', 'Windows 11'))) AS device""",
+        f"{_key('SESSION-', 'event_id', 9)} AS id",
+        f"if(event_id % 211 = 0, NULL, {_key('SESSION-', 'event_id', 9)}) AS sessionId",
+        f"if(event_id % 223 = 0, NULL, {_key('CUST-', 'user_id', 6)}) AS customerId",
+        f"""if(event_id % 53 = 0, '{{"deviceId":',
+              concat({_key('{"deviceId":"DEV-', '(user_id * 3 + event_id % 3)', 6)},
+                     if(event_id % 2 = 0, '","deviceType":"Mobile","operatingSystem":"iOS 18.3"',
+                                          '","deviceType":"Desktop","operatingSystem":"Windows 11"'),
+                     ',"appVersion":"5.1.0"}}')) AS device""",
         f"""if(event_id % 307 = 0, 'not a time', date_format(ts, '{_ISO}')) AS loginTimestamp""",
         f"date_format(ts + interval 10 minutes, '{_ISO}') AS logoutTimestamp",
         "concat('203.0.113.', event_id % 254 + 1) AS ipAddress",
@@ -106,13 +112,13 @@ def digital_sessions(events: DataFrame) -> DataFrame:
                 WHEN event_id % 25 = 0 THEN '{"country":"GB","state":"ENG","city":"London"}'
                 ELSE '{"country":"US","state":"NY","city":"New York"}' END AS geo""",
         """CASE WHEN event_id % 41 = 0 THEN '{"method":"password","failedAttempts":"x"}'
-                ELSE format_string('{"method":"%s","mfaUsed":%s,"failedAttempts":%d}',
-                       if(event_id % 3 = 0, 'biometric', 'password+mfa'),
-                       if(event_id % 5 = 0, 'false', 'true'),
-                       if(cast(get_json_object(props, '$.k') as bigint) < 15,
-                          cast(get_json_object(props, '$.k') as bigint), 0L))
+                ELSE concat('{"method":"', if(event_id % 3 = 0, 'biometric', 'password+mfa'),
+                            '","mfaUsed":', if(event_id % 5 = 0, 'false', 'true'),
+                            ',"failedAttempts":',
+                            if(cast(get_json_object(props, '$.k') as bigint) < 15,
+                               cast(get_json_object(props, '$.k') as bigint), 0L), '}')
            END AS authentication""",
-        """format_string('[{"activityType":"%s"}]', event_type) AS activities""",
+        """concat('[{"activityType":"', event_type, '"}]') AS activities""",
         "cast(event_id % 101 as int) AS sessionRiskScore",
         "true AS synthetic",
     )
@@ -124,13 +130,13 @@ def devices(events: DataFrame) -> DataFrame:
         "user_id", "explode(array(user_id * 3, user_id * 3 + 1, user_id * 3 + 2)) AS n"
     )
     return owned.selectExpr(
-        "format_string('DEV-%06d', n) AS id",
-        "if(n % 113 = 0, NULL, format_string('DEV-%06d', n)) AS deviceId",
-        "if(n % 127 = 0, NULL, format_string('CUST-%06d', user_id)) AS customerId",
+        f"{_key('DEV-', 'n', 6)} AS id",
+        f"if(n % 113 = 0, NULL, {_key('DEV-', 'n', 6)}) AS deviceId",
+        f"if(n % 127 = 0, NULL, {_key('CUST-', 'user_id', 6)}) AS customerId",
         "'2023-01-01T00:00:00.000Z' AS firstSeen",
         "'2024-01-30T00:00:00.000Z' AS lastSeen",
         "if(n % 31 = 0, NULL, n % 7 <> 0) AS trusted",
-        "format_string('SYNTH-FP-%016d', n) AS deviceFingerprint",
+        f"{_key('SYNTH-FP-', 'n', 16)} AS deviceFingerprint",
         "if(n % 2 = 0, 'iOS 18.3', 'Windows 11') AS operatingSystem",
         "'5.1.0' AS appVersion",
         """if(n % 7 = 0, '["new_device"]', '[]') AS riskSignals""",
@@ -157,11 +163,11 @@ def fraud_alerts(events: DataFrame, orders: DataFrame | None) -> DataFrame:
         first = orders.groupBy("o_custkey").agg({"o_orderkey": "min"}).toDF("user_id", "first_order")
         alerts = alerts.join(first, "user_id", "left")
     return alerts.selectExpr(
-        "format_string('ALERT-%08d', event_id) AS id",
-        "if(event_id % 103 = 0, NULL, format_string('ALERT-%08d', event_id)) AS alertId",
-        "format_string('CUST-%06d', user_id) AS customerId",
-        """if(event_id div 2 % 2 = 0 AND first_order IS NOT NULL,
-             format_string('TXN-%09d', first_order), NULL) AS transactionId""",
+        f"{_key('ALERT-', 'event_id', 8)} AS id",
+        f"if(event_id % 103 = 0, NULL, {_key('ALERT-', 'event_id', 8)}) AS alertId",
+        f"{_key('CUST-', 'user_id', 6)} AS customerId",
+        f"""if(event_id div 2 % 2 = 0 AND first_order IS NOT NULL,
+              {_key('TXN-', 'first_order', 9)}, NULL) AS transactionId""",
         f"date_format(ts, '{_ISO}') AS createdTimestamp",
         """element_at(array('transactionAnomaly', 'accountTakeover', 'newDevice', 'geoAnomaly', 'velocity'),
                       cast(event_id % 7 % 5 + 1 as int)) AS alertType""",
@@ -238,5 +244,5 @@ class Sources:
 def bind(spark: SparkSession, sf_dir: str) -> Sources:
     configure(spark)
     sources = Sources(spark, sf_dir)
-    size_shuffles(spark, sources.driver("orders"), sources.driver("events"))
+    size_tasks(spark, sources.driver("orders"), sources.driver("events"))
     return sources
