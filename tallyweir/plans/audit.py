@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweir import model
-from tallyweir.operators.counts import row_counts
+from tallyweir.operators.counts import table_inventory
 from tallyweir.sinks.tables import Lake, append_audit
 from tallyweir.sources.tables import rows_frame
 
@@ -93,11 +93,22 @@ def logged_stage(
     return counts
 
 
-def table_counts(frames: Mapping[str, DataFrame | None]) -> dict[str, int | None]:
-    """Rows per frame, counted in one job; None for a missing frame."""
-    present = {name: df for name, df in frames.items() if df is not None}
-    counts = {row["table_name"]: row["row_count"] for row in row_counts(present).collect()}
-    return {name: counts.get(name.lower()) for name in frames}
+def layer_counts(
+    layers: Mapping[str, Mapping[str, DataFrame | None]]
+) -> dict[str, dict[str, int | None]]:
+    """Rows of every table of every layer, all counted in one job; None for a missing table."""
+    present = {
+        layer: {name: df for name, df in frames.items() if df is not None}
+        for layer, frames in layers.items()
+    }
+    counted = {
+        (row["layer"], row["table_name"]): row["row_count"]
+        for row in table_inventory(present).collect()
+    }
+    return {
+        layer: {name: counted.get((layer, name.lower())) for name in frames}
+        for layer, frames in layers.items()
+    }
 
 
 def _source_kind(silver_table: str) -> str:
@@ -144,8 +155,9 @@ def reconcile(
     run_id: str,
     run_date: str,
 ) -> DataFrame:
-    """R01-R04 as a frame. What reaches the driver is one number per table, counted in one job a layer."""
-    checks = reconciliation_rows(table_counts(sources), table_counts(silver), table_counts(gold))
+    """R01-R04 as a frame. What reaches the driver is one number per table, all counted in one job."""
+    counted = layer_counts({"source": sources, "silver": silver, "gold": gold})
+    checks = reconciliation_rows(counted["source"], counted["silver"], counted["gold"])
     return rows_frame(
         spark, [(*check, run_id, run_date) for check in checks], model.RECONCILIATION
     )

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweir.functions.keys import date_key, surrogate_key
 from tallyweir.operators.skew import heavy_keys, left_fanout
 from tallyweir.plans.risk_profile import customer_risk_profile
-from tallyweir.sinks.tables import Lake, write_gold
+from tallyweir.sinks.tables import Lake, side_by_side, write_gold
 from tallyweir.sources.calendar import dim_date
 
 # Silver tables that name a customer.
@@ -153,8 +153,10 @@ def refresh_gold(
 ) -> dict[str, int]:
     """Rebuild the nine Gold tables from Silver; the profile reads the facts just written."""
     plans = build_gold(silver, days)
-    plans.pop("aggcustomerriskprofile")
-    counts = {name: write_gold(lake, plan, name, loaded_at) for name, plan in plans.items()}
+    del plans["aggcustomerriskprofile"]
+    counts = side_by_side(
+        lake, {name: partial(write_gold, lake, plan, name, loaded_at) for name, plan in plans.items()}
+    )
     profile = customer_risk_profile(
         lake.read("facttransactions"), lake.read("factdigitalsessions"),
         lake.read("factfraudalerts"), silver["devices"], days=days,

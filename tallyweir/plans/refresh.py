@@ -76,15 +76,13 @@ def run_medallion(
         return StageCounts(sum(c.read for c in counts), sum(c.valid for c in counts))
 
     def build_gold() -> StageCounts:
-        frames = silver_frames(lakes)
-        read = audit.table_counts({name: frames[name] for name in model.SILVER_TABLES})
-        written = gold.refresh_gold(lakes.gold, frames, loaded_at, days)
-        return StageCounts(sum(read.values()), sum(written.values()))
+        written = gold.refresh_gold(lakes.gold, silver_frames(lakes), loaded_at, days)
+        return StageCounts(from_silver.written, sum(written.values()))
 
     def publish() -> StageCounts:
-        frames = gold_frames(lakes)
-        views.update(serving.publish(lakes.serving, frames, claim))
-        return StageCounts(sum(audit.table_counts(frames).values()), 0)
+        published = serving.publish(lakes.serving, gold_frames(lakes), claim)
+        views.update(published.views)
+        return StageCounts(sum(published.gold_rows.values()), 0)
 
     def reconcile() -> StageCounts:
         results = audit.reconcile(
@@ -92,7 +90,7 @@ def run_medallion(
         )
         return audit.record_reconciliation(lakes.gold, results)
 
-    stage("silver_transform", build_silver)
+    from_silver = stage("silver_transform", build_silver)
     stage("gold_build", build_gold)
     stage("warehouse_publish", publish)
     stage("reconciliation", reconcile)

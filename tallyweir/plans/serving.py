@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,7 +14,7 @@ from tallyweir.operators.checks import gate_nonempty
 from tallyweir.operators.governance import RESTRICTED_BAND, secure_rows
 from tallyweir.plans.gold import MERCHANT_COLUMNS
 from tallyweir.plans.risk_profile import PROFILE_COLUMNS
-from tallyweir.sinks.tables import Lake, overwrite
+from tallyweir.sinks.tables import Lake, overwrite, side_by_side
 
 # Gold tables with sensitive content: served from their own snapshot, never from Gold itself.
 GOVERNED = ("dimcustomer", "dimdevice", "aggcustomerriskprofile")
@@ -92,23 +94,28 @@ def serving_views(
     }
 
 
+class Published(NamedTuple):
+    views: dict[str, DataFrame]
+    gold_rows: dict[str, int]
+
+
 def publish(
     serving: Lake, gold: Mapping[str, DataFrame], claim: str | None = None, privileged: bool = False
-) -> dict[str, DataFrame]:
+) -> Published:
     """V02, K05, P16 in one step: gate, snapshot, then views under the serving schema's name.
 
     Security is part of the step, so a refreshed snapshot is never reachable without it. The views
     belong to the session, since the claim does.
     """
-    gate_nonempty({table: gold[table] for table in model.GOLD_TABLES})
-    snapshots = {}
-    for table in GOVERNED:
-        overwrite(serving, gold[table], f"_base_{table}")
-        snapshots[table] = serving.read(f"_base_{table}")
+    gold_rows = gate_nonempty({table: gold[table] for table in model.GOLD_TABLES})
+    side_by_side(serving, {
+        table: partial(overwrite, serving, gold[table], f"_base_{table}") for table in GOVERNED
+    })
+    snapshots = {table: serving.read(f"_base_{table}") for table in GOVERNED}
     views = serving_views(gold, snapshots, claim, privileged)
     for table, view in views.items():
         view.createOrReplaceTempView(f"{serving.schema}_{table}")
-    return views
+    return Published(views, gold_rows)
 
 
 def restricted_rows_visible(snapshot: DataFrame, claim: str | None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 
@@ -11,7 +12,7 @@ from tallyweir.functions import rules
 from tallyweir.functions.casting import cast_timestamps, json_scalar
 from tallyweir.operators.quality import REASON, VALID, Split, quarantine_split, with_verdict
 from tallyweir.operators.skew import heavy_keys, mark_members
-from tallyweir.sinks.tables import Lake, SplitCounts, write_split
+from tallyweir.sinks.tables import Lake, SplitCounts, side_by_side, write_split
 
 # the columns that must be zoned timestamps.
 TIMESTAMPS = {
@@ -103,23 +104,30 @@ def flat_frames(silver: Mapping[str, Split]) -> dict[str, DataFrame]:
     }
 
 
+def write_silver_table(
+    lake: Lake, table: str, source: DataFrame, valid_transactions: DataFrame | None = None
+) -> SplitCounts:
+    """One Silver table and its quarantine, from one scan of its source."""
+    frame = _judged(table, source, valid_transactions)
+    tagged = with_verdict(frame, rules.BY_TABLE[table]()).drop(rules.KNOWN_TRANSACTION)
+    original = [name for name in tagged.columns if name not in (VALID, REASON)]
+    published = original
+    if table == "sessions":
+        tagged = with_session_columns(tagged)
+        published = [name for name in tagged.columns if name not in (*SESSION_PARTS, VALID, REASON)]
+    return write_split(lake, tagged, table, published, original)
+
+
 def refresh_silver(lake: Lake, sources: Mapping[str, DataFrame]) -> dict[str, SplitCounts]:
     """Rebuild the twelve Silver tables: each source is scanned and written once.
 
     Transactions go first; the scores are then checked against the written table, so a lost executor
     never re-runs both.
     """
-    counts = {}
-    for table, source in model.SILVER_SOURCE.items():
-        valid_transactions = lake.read("transactions") if table == "transaction_risk" else None
-        frame = _judged(table, sources[source], valid_transactions)
-        tagged = with_verdict(frame, rules.BY_TABLE[table]()).drop(rules.KNOWN_TRANSACTION)
-        original = [name for name in tagged.columns if name not in (VALID, REASON)]
-        published = original
-        if table == "sessions":
-            tagged = with_session_columns(tagged)
-            published = [
-                name for name in tagged.columns if name not in (*SESSION_PARTS, VALID, REASON)
-            ]
-        counts[table] = write_split(lake, tagged, table, published, original)
-    return counts
+    first = write_silver_table(lake, "transactions", sources["transactions"])
+    known = lake.read("transactions")
+    rest = side_by_side(lake, {
+        table: partial(write_silver_table, lake, table, sources[source], known)
+        for table, source in model.SILVER_SOURCE.items() if table != "transactions"
+    })
+    return {"transactions": first, **rest}

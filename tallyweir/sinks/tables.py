@@ -7,9 +7,13 @@ replaces, a failed write leaves the old version in place, and older versions sta
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
-from typing import NamedTuple
+from functools import partial
+from typing import Any, NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -121,6 +125,18 @@ def _subset(df: DataFrame, columns: list[str]) -> StructType:
     return StructType([df.schema[name] for name in columns])
 
 
+def side_by_side(lake: Lake, writes: Mapping[str, Callable[[], Any]]) -> dict[str, Any]:
+    """Submit independent writes together, so that the tail of one job does not leave the cluster idle."""
+    with ThreadPoolExecutor(max_workers=min(8, len(writes))) as pool:
+        running = {
+            name: pool.submit(inheritable_thread_target(lake.spark)(write))
+            for name, write in writes.items()
+        }
+        return {name: job.result() for name, job in running.items()}
+
+
 def seed_tables(lake: Lake, sources: dict[str, DataFrame]) -> dict[str, int]:
     """Load each source into its table, replacing what is there; returns rows per table."""
-    return {table: overwrite(lake, df, table) for table, df in sources.items()}
+    return side_by_side(
+        lake, {table: partial(overwrite, lake, df, table) for table, df in sources.items()}
+    )
