@@ -103,9 +103,13 @@ def orphans(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 def orphan_counts(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Orphan rows and distinct orphan ids; folded per key before the second count."""
-    per_key = orphans(df, parent, key).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return per_key.agg(
+    """Orphan rows and distinct orphan ids.
+
+    Rows are folded per key before the lookup: only distinct keys travel, each once.
+    """
+    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    unknown = mark_members(per_key, parent, key, _KNOWN).where(~F.col(_KNOWN))
+    return unknown.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("orphan_rows"),
         F.count(key).alias("orphan_ids"),
     )

@@ -81,7 +81,7 @@ def flag_usage(usage: DataFrame, devices: DataFrame) -> DataFrame:
     """Usage rows with ``IsUntrusted`` and ``IsAnomaly``.
 
     An anomaly is a known country outside the history of a device that has one. Both lookups are
-    left joins to one row per key, salted by customer: a device may be used by very many of them.
+    left joins to one row per key that AQE can split: a device may be used by very many customers.
     """
     trust = device_trust(devices)
     home = (

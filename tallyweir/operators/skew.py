@@ -8,7 +8,8 @@ outside that and are handled here:
   ``left_lookup`` answers the heavy keys of the left side by a broadcast of at most one row per key;
 * a left join whose *right* side has a heavy key: ``left_fanout`` joins those keys as an inner join,
   which AQE may split on either side;
-* a small deduplicated right side: ``spread_lookup`` salts deterministically and repeats the right.
+* a deduplicated right side much smaller than the left: ``spread_lookup`` gives it an exchange of its
+  own, after which AQE splits the left side, and salts on request.
 
 Heavy keys come from a mergeable frequent-items sketch: one pass over one column, no shuffle of
 keys, and a result bounded by ``MAX_HEAVY_KEYS`` whatever the data.
@@ -28,7 +29,7 @@ TRACKED_KEYS = 20_000
 HEAVY_ROWS = 1_000_000
 HEAVY_INPUT_BYTES = 1 << 30
 
-SALTS = 16
+SALTS = 1
 _SALT = "_salt"
 
 
@@ -87,9 +88,12 @@ def spread_lookup(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spread_on: Sequence[str],
     salts: int = SALTS,
 ) -> DataFrame:
-    """Left join to a small right side with at most one row per key, a heavy key spread over salts.
+    """Left join to a deduplicated right side through exchanges AQE can split.
 
-    The salt is a hash of ``spread_on`` columns of the left row, so a retried task repeats it.
+    The salt makes the join key differ from the key the right side was grouped on, so the right gets
+    an exchange of its own and a heavy key of the left is split at run time. With more than one salt
+    a heavy key is also spread up front, at the price of repeating the right side; the salt is a
+    hash of ``spread_on`` columns of the left row, so a retried task repeats it.
     """
     salt = F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

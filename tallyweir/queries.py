@@ -20,7 +20,7 @@ from tallyweir.functions.keys import surrogate_key
 from tallyweir.operators import checks, counts, customer_metrics, governance, merge, windows
 from tallyweir.operators.quality import VALID, with_verdict
 from tallyweir.oracle import _exact, stated
-from tallyweir.plans import audit, consumption, gold, incremental, refresh, serving, silver
+from tallyweir.plans import audit, consumption, gold, incremental, loading, refresh, serving, silver
 from tallyweir.session import shared_folder
 from tallyweir.sinks import tables as sinks
 from tallyweir.sources import bindings, calendar, documents, tables
@@ -1274,3 +1274,43 @@ def _(f):
     lakes = refresh.Lakes(f.lake("silver"), f.lake("gold"), f.lake("serving"))
     refresh.run_medallion(lakes, f.sources.by_name(), "run-1", "2026-01-31", AS_OF)
     return lakes.gold.read(audit.RUN_LOG_TABLE).select("stage", "status", "rows_read", "rows_written")
+
+
+@query("e4_incremental_batch", stated("""
+SELECT 'transactions' AS object, count(*) + 25 AS row_count FROM src_transactions
+UNION ALL SELECT 'transaction_risk_scores', count(*) + 25 FROM src_risk
+UNION ALL SELECT 'merchants', count(*) + count(DISTINCT 1) FILTER (NOT EXISTS (
+  SELECT 1 FROM src_merchants WHERE MerchantID = 'MER001501')) FROM src_merchants"""))
+def _(f):
+    lake = f.lake("incremental")
+    named = f.sources.by_name()
+    typed = {"transactions": silver.typed("transactions", named["transactions"]),
+             "transaction_risk_scores": silver.typed("transaction_risk", named["transaction_risk_scores"]),
+             "merchants": named["merchants"]}
+    base = sinks.seed_tables(lake, typed)["transactions"]
+    loading.apply_incremental_batch(lake, base, 25, AS_OF)
+    return loading.apply_incremental_batch(lake, base, 25, AS_OF)
+
+
+@query("e4_document_load", stated("""
+SELECT 'digitalSessions' AS container, count(*) FILTER (changeType IS NULL) AS unchanged,
+       count(*) FILTER (changeType IS NOT NULL) AS changed FROM (
+  SELECT CAST(NULL AS VARCHAR) AS changeType FROM src_sessions WHERE customerId IS NOT NULL
+  UNION ALL SELECT 'insert')
+UNION ALL SELECT 'devices', count(*) FILTER (NOT hit), 1 FROM (
+  SELECT id = 'DEV-000001' AND customerId = 'CUST-000001' AS hit FROM src_devices WHERE customerId IS NOT NULL)
+UNION ALL SELECT 'fraudAlerts', count(*) FILTER (NOT hit), 2 FROM (
+  SELECT id = 'ALERT-00000001' AND customerId = 'CUST-000001' AS hit FROM src_alerts)"""))
+def _(f):
+    lake = f.lake("documents")
+    named = {name: df for name, df in f.sources.by_name().items() if name in model.DOCUMENT_SOURCES}
+    loading.upsert_into(lake, {name: df.where(F.col("customerId").isNotNull()) for name, df in named.items()})
+    for _ in range(2):
+        loading.upsert_into(lake, incremental.document_batch(f.spark, AS_OF))
+    return reduce(DataFrame.unionByName, (
+        lake.read(name).agg(
+            F.count_if(F.col("changeType").isNull()).alias("unchanged"),
+            F.count_if(F.col("changeType").isNotNull()).alias("changed"),
+        ).select(F.lit(name).alias("container"), "unchanged", "changed")
+        for name in model.DOCUMENT_SOURCES
+    ))

@@ -52,9 +52,14 @@ def _new_folder(lake: Lake, table: str) -> str:
 
 
 def _point(lake: Lake, table: str, folder: str, schema: StructType) -> None:
-    """Repoint the name; dropping an external table leaves its files alone."""
-    name = lake.name(table)
-    lake.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    """Repoint the name: in place where the schema stays, else by recreating the external table.
+
+    Neither touches files, so a plan already reading the old version finishes on it.
+    """
+    if lake.exists(table) and lake.read(table).schema == schema:
+        lake.spark.sql(f"ALTER TABLE {lake.name(table)} SET LOCATION '{folder}'")
+        return
+    lake.spark.sql(f"DROP TABLE IF EXISTS {lake.name(table)}")
     lake.spark.catalog.createTable(
         f"{lake.schema}.{table.lower()}", path=folder, source="parquet", schema=schema
     )

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -53,6 +55,18 @@ def ordinals(spark: SparkSession, base: int, count: int) -> DataFrame:
     return spark.range(base, base + count).withColumnRenamed("id", "Ordinal")
 
 
-def rows_frame(spark: SparkSession, rows: Sequence, schema: StructType) -> DataFrame:
-    """A few driver-side rows; the schema is explicit because a column may be all NULL."""
-    return spark.createDataFrame(list(rows), schema=schema)
+def rows_frame(spark: SparkSession, rows: Iterable[Sequence], schema: StructType) -> DataFrame:
+    """A few driver-side rows; the schema is explicit because a column may be all NULL.
+
+    Through Arrow, so that the plan holds the rows themselves and knows how few they are: a merge
+    with them broadcasts instead of shuffling its target.
+    """
+    rows = list(rows)
+    arrow = to_arrow_schema(schema)
+    columns = zip(*rows) if rows else ([] for _ in schema)
+    return spark.createDataFrame(
+        pa.Table.from_arrays(
+            [pa.array(list(values), field.type) for values, field in zip(columns, arrow)], schema=arrow
+        ),
+        schema,
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import types as T  # noqa: E402
 from tallyweir import model  # noqa: E402
 from tallyweir.session import local_session, shared_folder  # noqa: E402
 from tallyweir.sinks.tables import open_lake  # noqa: E402
+from tallyweir.sources.tables import rows_frame  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -31,12 +32,12 @@ def lake(spark, folder):
 @pytest.fixture
 def frame(spark):
     """``frame("a int, b string", (1, "x"), ...)``."""
-    return lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    return lambda schema, *rows: rows_frame(spark, rows, T.StructType.fromDDL(schema))
 
 
 def _rows(spark, schema: T.StructType, dicts):
     rows = [tuple(d.get(name) for name in schema.names) for d in dicts]
-    return spark.createDataFrame(rows, schema)
+    return rows_frame(spark, rows, schema)
 
 
 DAY = datetime(2026, 1, 31)

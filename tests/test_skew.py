@@ -27,7 +27,9 @@ def test_lookup_is_the_left_join_whatever_is_heavy(hot, frame, heavy):
     right = frame("k string, v int", ("hot", 1), ("k5", 2), ("zz", 3))
     plain = hot.join(right, "k", "left")
     assert content(skew.left_lookup(hot, right, "k", heavy)) == content(plain)
-    assert content(skew.spread_lookup(hot, right, ["k"], ["n"]).select("k", "n", "v")) == content(plain)
+    for salts in (1, 16):
+        spread = skew.spread_lookup(hot, right, ["k"], ["n"], salts)
+        assert content(spread.select("k", "n", "v")) == content(plain)
 
 
 @pytest.mark.parametrize("heavy", [(), ("hot",), ("hot", "k5"), (None, "hot")])
@@ -46,14 +48,60 @@ def test_members_never_fan_out(hot, frame, heavy):
     assert {r["k"] for r in marked.where("known").collect()} == {"hot", "k5"}
 
 
-def test_heavy_part_is_broadcast_and_the_salted_join_is_not_skewed(spark, hot, frame):
+@pytest.fixture
+def eager_splitting(spark):
+    """No broadcast, and partitions count as skewed when they are merely uneven."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def final_plan(df):
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_heavy_part_is_broadcast(eager_splitting, hot, frame):
     right = frame("k string, v int", ("hot", 1), ("k5", 2))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = skew.left_lookup(hot, right, "k", ["hot"])._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan
-        spread = skew.spread_lookup(hot.where("k = 'hot'"), right, ["k"], ["n"], 16)
-        spread = spread.withColumn("p", F.spark_partition_id())
-        assert spread.count() == 1000
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = skew.left_lookup(hot, right, "k", ["hot"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" in plan
+
+
+def test_heavy_key_of_a_lookup_is_split_at_run_time(eager_splitting, spark, frame):
+    # A wide left row, so that the heavy key outweighs the rest in bytes.
+    n = F.col("id")
+    left = spark.range(0, 20000, 1, 8).select(
+        F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), n)).alias("k"), n.alias("n")
+    )
+    right = left.select("k").distinct().withColumn("v", F.lit(1))
+    split, plan = final_plan(skew.spread_lookup(left, right, ["k"], ["n"]))
+    assert "skew=true" in plan and len(split) == 20000 and all(r["v"] == 1 for r in split)
+    # The same join without its own exchange cannot be split.
+    _, plain = final_plan(left.join(right, "k", "left"))
+    assert "skew=true" not in plain
+
+
+def test_heavy_key_on_the_right_of_a_fanout_is_split(eager_splitting, spark):
+    n = F.col("id")
+    right = spark.range(0, 20000, 1, 8).select(
+        F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), n)).alias("k"), n.alias("n")
+    )
+    left = spark.range(0, 100, 1, 4).select(
+        F.when(n == 0, "hot").otherwise(F.concat(F.lit("k"), n)).alias("k")
+    )
+    _, plain = final_plan(skew.left_fanout(left, right, "k"))
+    assert "skew=true" not in plain
+    rows, plan = final_plan(skew.left_fanout(left, right, "k", ["hot"]))
+    assert "skew=true" in plan
+    assert len([r for r in rows if r["k"] == "hot"]) == 6667

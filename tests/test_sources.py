@@ -114,14 +114,15 @@ def test_id_differences(frame):
     assert {tuple(r) for r in found.collect()} == {(1, "missing"), (3, "unexpected")}
 
 
-def test_sizes_follow_the_scans_and_only_grow(spark, frame):
+def test_sizes_follow_the_scans_and_only_grow(spark):
+    unknown = spark.createDataFrame([(1,)], "a int")
     settings = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
     before = {key: spark.conf.get(key) for key in settings}
     small, huge = spark.range(1000), spark.range(10**13)
     # A join is what it reads, not the product of its sides; rows from the driver say nothing.
     assert scan_size(small.join(spark.range(1000).withColumnRenamed("id", "n"), F.col("n") > 1)).known_bytes == 16000
-    assert scan_size(frame("a int", (1,))) == (0, False)
-    size_tasks(spark, small, frame("a int", (1,)))
+    assert scan_size(unknown) == (0, False)
+    size_tasks(spark, small, unknown)
     assert {key: spark.conf.get(key) for key in settings} == before
     try:
         size_tasks(spark, huge)
