@@ -21,7 +21,8 @@ COUNTS = (
     "TransactionCount30D", "HighRiskTransactionCount", "FraudAlertCount", "FailedLoginCount",
     "DistinctDeviceCount", "UntrustedDeviceCount", "GeographicAnomalyCount",
 )
-_AMOUNTS = ("TotalTransactionAmount30D", "_score_total")
+# Summed beside the published measures, for the average.
+_SCORE_TOTAL = "_score_total"
 _SCORED = "_scored"
 
 PROFILE_COLUMNS = (
@@ -33,19 +34,12 @@ PROFILE_COLUMNS = (
 
 
 def _contribution(df: DataFrame, **measures: Column) -> DataFrame:
-    """(CustomerID, all measures): the given ones, zero or NULL for the rest."""
-    filled = {
-        **{name: F.lit(0).cast("bigint") for name in (*COUNTS, _SCORED)},
-        **{name: F.lit(None).cast("double") for name in _AMOUNTS},
-        **measures,
-    }
-    return df.select(
-        "CustomerID",
-        *(
-            value.cast("double" if name in _AMOUNTS else "bigint").alias(name)
-            for name, value in filled.items()
-        ),
-    )
+    """(CustomerID, the measures this source knows); a condition counts as 0 or 1."""
+    return df.select("CustomerID", *(value.alias(name) for name, value in measures.items()))
+
+
+def _counted(condition: Column) -> Column:
+    return condition.cast("bigint")
 
 
 def stacked_contributions(
@@ -57,37 +51,32 @@ def stacked_contributions(
     sessions_as_of: Column,
     days: int,
 ) -> DataFrame:
+    """The contributions of the four sources, stacked; a measure a source does not know is NULL."""
     # The window test is a column of its own, so it is evaluated once per row.
-    fact_transactions = fact_transactions.withColumn(
+    recent = F.col("_recent")
+    transactions = fact_transactions.withColumn(
         "_recent", in_trailing_window("TransactionTimestamp", transactions_as_of, days)
     )
-    recent = F.col("_recent")
-    elevated = F.coalesce(F.col("RiskBand").isin(*model.ELEVATED_BANDS), F.lit(False))
+    sessions = fact_sessions.withColumn(
+        "_recent", in_trailing_window("LoginTimestamp", sessions_as_of, days)
+    )
     score = F.when(recent, F.col("RiskScore"))
+    elevated = F.col("RiskBand").isin(*model.ELEVATED_BANDS)
     from_transactions = _contribution(
-        fact_transactions,
-        TransactionCount30D=recent,
-        HighRiskTransactionCount=recent & elevated,
+        transactions,
+        TransactionCount30D=_counted(recent),
         TotalTransactionAmount30D=F.when(recent, F.col("Amount")),
-        _score_total=score,
-        _scored=score.isNotNull(),
+        HighRiskTransactionCount=_counted(recent & elevated),
+        **{_SCORE_TOTAL: score, _SCORED: _counted(score.isNotNull())},
     )
     # Alerts are windowed by the sessions' clock, like every measure of the document source.
-    from_alerts = _contribution(
-        fact_alerts, FraudAlertCount=in_trailing_window("AlertTimestamp", sessions_as_of, days)
-    )
-    fact_sessions = fact_sessions.withColumn(
-        "_recent", in_trailing_window("LoginTimestamp", sessions_as_of, days)
-    )
-    seen = device_usage(fact_sessions, recent)
-    signals = device_signals(flag_usage(seen, devices))
-    from_sessions = _contribution(
-        signals,
-        **{name: F.coalesce(F.col(name), F.lit(0)) for name in signals.columns if name in COUNTS},
-    )
-    from_devices = _contribution(devices.select(F.col("customerId").alias("CustomerID")))
+    alert_is_recent = in_trailing_window("AlertTimestamp", sessions_as_of, days)
+    from_alerts = _contribution(fact_alerts, FraudAlertCount=_counted(alert_is_recent))
+    from_sessions = device_signals(flag_usage(device_usage(sessions, recent), devices))
+    from_devices = devices.select(F.col("customerId").alias("CustomerID"))
     return reduce(
-        DataFrame.unionByName, (from_transactions, from_alerts, from_sessions, from_devices)
+        lambda stack, more: stack.unionByName(more, allowMissingColumns=True),
+        (from_transactions, from_alerts, from_sessions, from_devices),
     ).where(F.col("CustomerID").isNotNull())
 
 
@@ -121,11 +110,10 @@ def customer_risk_profile(
         as_of_date(fact_sessions, "LoginTimestamp") if sessions_as_of is None else sessions_as_of,
         days,
     )
-    totals = stacked.groupBy("CustomerID").agg(
-        *(F.sum(name).alias(name) for name in (*COUNTS, _SCORED, *_AMOUNTS))
-    )
-    average = F.when(F.col(_SCORED) > 0, F.col("_score_total") / F.col(_SCORED))
+    summed = (*COUNTS, "TotalTransactionAmount30D", _SCORED, _SCORE_TOTAL)
+    totals = stacked.groupBy("CustomerID").agg(*(F.sum(name).alias(name) for name in summed))
+    average = F.when(F.col(_SCORED) > 0, F.col(_SCORE_TOTAL) / F.col(_SCORED))
     return scored_profile(
         totals.withColumn("AverageTransactionRiskScore", average)
-        .fillna(0.0, ["TotalTransactionAmount30D"])
+        .fillna(0, [*COUNTS, "TotalTransactionAmount30D"])
     )
