@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
 from tallyweir.functions import rules
 from tallyweir.operators.quality import Split, fail_closed
-from tallyweir.operators.windows import as_of_date
+from tallyweir.operators.windows import trailing_window, window_start
 from tallyweir.plans import gold, silver
 from tallyweir.plans.risk_profile import customer_risk_profile
 from tallyweir.session import shared_folder
@@ -94,11 +94,17 @@ class Frames:
             "devices": self.devices.valid, "fraud_alerts": self.unlinked_alerts,
         })
 
+    def sessions_start(self, days: int = 30) -> Column:
+        return window_start(self.fact_sessions, "LoginTimestamp", days)
+
+    def recent_sessions(self, days: int = 30) -> DataFrame:
+        return trailing_window(self.fact_sessions, "LoginTimestamp", self.sessions_start(days), days)
+
     def profile(self, days: int = 30) -> DataFrame:
         return customer_risk_profile(
             self.fact_transactions, self.fact_sessions, self.unlinked_alerts, self.devices.valid,
-            as_of_date(self.transactions.valid, "TransactionTimestamp"),
-            as_of_date(self.fact_sessions, "LoginTimestamp"),
+            window_start(self.transactions.valid, "TransactionTimestamp", days),
+            self.sessions_start(days),
             days,
         )
 

@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, time, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW_DAYS = 30
 
 
 def as_of_date(df: DataFrame, moment: str) -> Column:
-    """Last day seen, as a scalar subquery; no value passes through the driver.
-
-    NULL when the source is empty, which makes every window on it empty.
-    """
+    """Last day seen, as a scalar subquery; NULL when the source is empty."""
     return df.select(F.max(F.col(moment)).cast("date")).scalar()
 
 
-def in_trailing_window(moment: str | Column, as_of: Column, days: int = WINDOW_DAYS) -> Column:
-    """F08 predicate: the ``days`` days ending on ``as_of``, both ends included; never NULL.
+def window_start(df: DataFrame, moment: str, days: int = WINDOW_DAYS) -> Column:
+    """First midnight of the ``days`` days ending on the last day seen, as a scalar subquery.
 
-    Half-open on the raw timestamp, so a scan can compare it without a per-row date cast.
+    The bound itself comes out of the subquery: compared with a bare column, its value reaches the
+    Parquet scan at run time, which a date computed around the subquery would not. An empty source
+    gives NULL, which makes every window on it empty.
     """
-    ts = F.col(moment) if isinstance(moment, str) else moment
-    first = F.date_sub(as_of, days - 1).cast("timestamp")
-    after = F.date_add(as_of, 1).cast("timestamp")
-    return F.coalesce((ts >= first) & (ts < after), F.lit(False))
+    return df.select(F.date_sub(F.max(F.col(moment)).cast("date"), days - 1).cast("timestamp")).scalar()
 
 
-def trailing_window(df: DataFrame, moment: str, as_of: Column, days: int = WINDOW_DAYS) -> DataFrame:
-    """rows inside the window."""
+def start_before(last: datetime | date | None, days: int = WINDOW_DAYS) -> Column:
+    """The same bound from an already known last moment (UTC)."""
+    if last is None:
+        return F.lit(None).cast("timestamp")
+    day = last.date() if isinstance(last, datetime) else last
+    midnight = datetime.combine(day - timedelta(days=days - 1), time())
+    return F.lit(midnight.isoformat(sep=" ")).cast("timestamp")
+
+
+def _inside(moment: str, start: Column, days: int) -> Column:
+    # One subquery in both bounds: two different ones would be merged and not reach the scan.
     ts = F.col(moment)
-    first = F.date_sub(as_of, days - 1).cast("timestamp")
-    after = F.date_add(as_of, 1).cast("timestamp")
-    return df.where((ts >= first) & (ts < after))
+    return (ts >= start) & (ts < start + F.expr(f"INTERVAL '{days}' DAY"))
+
+
+def in_trailing_window(moment: str, start: Column, days: int = WINDOW_DAYS) -> Column:
+    """F08 as a flag, never NULL."""
+    return F.coalesce(_inside(moment, start, days), F.lit(False))
+
+
+def trailing_window(df: DataFrame, moment: str, start: Column, days: int = WINDOW_DAYS) -> DataFrame:
+    """rows of the ``days`` days from ``start``, both end days included.
+
+    Half-open on the raw timestamp; a scan of files written in time order skips the rest.
+    """
+    return df.where(_inside(moment, start, days))

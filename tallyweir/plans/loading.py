@@ -68,7 +68,8 @@ def upsert_into(lake: Lake, batches: Mapping[str, DataFrame]) -> dict[str, int]:
             return latest_documents(batch, ())
         return upsert_documents(lake.read(container), batch)
 
-    return side_by_side(lake, {
+    written = side_by_side(lake, {
         container: partial(overwrite, lake, merged(container, batch), container)
         for container, batch in batches.items()
     })
+    return {container: result["rows"] for container, result in written.items()}

@@ -488,15 +488,13 @@ SELECT TransactionID, TransactionTimestamp, Amount FROM w_t""", 30))
 def _(f):
     rows = f.transactions.valid
     return windows.trailing_window(
-        rows, "TransactionTimestamp", windows.as_of_date(rows, "TransactionTimestamp")
+        rows, "TransactionTimestamp", windows.window_start(rows, "TransactionTimestamp")
     ).select("TransactionID", "TransactionTimestamp", "Amount")
 
 
 @query("f08_trailing_week", stated("SELECT SessionID, LoginTimestamp FROM w_s", 7))
 def _(f):
-    return windows.trailing_window(
-        f.fact_sessions, "LoginTimestamp", windows.as_of_date(f.fact_sessions, "LoginTimestamp"), 7
-    ).select("SessionID", "LoginTimestamp")
+    return f.recent_sessions(7).select("SessionID", "LoginTimestamp")
 
 
 @query("f09_a12_u01_customer_spine", stated("SELECT CustomerID FROM spine"))
@@ -513,10 +511,8 @@ def _(f):
 SELECT DISTINCT s.CustomerID, s.DeviceID, s.GeoCountry FROM w_s s JOIN home h ON h.DeviceID = s.DeviceID
 WHERE s.GeoCountry IS NOT NULL AND NOT list_contains(h.countries, s.GeoCountry)""", 30))
 def _(f):
-    recent = windows.trailing_window(
-        f.fact_sessions, "LoginTimestamp", windows.as_of_date(f.fact_sessions, "LoginTimestamp")
-    )
-    flagged = customer_metrics.flag_usage(customer_metrics.device_usage(recent), f.devices.valid)
+    used = customer_metrics.device_usage(f.recent_sessions())
+    flagged = customer_metrics.flag_usage(used, f.devices.valid)
     return flagged.where("IsAnomaly").select("CustomerID", "DeviceID", "GeoCountry")
 
 
@@ -727,18 +723,12 @@ def _(f):
 # --- joins and aggregates ---------------------------------------------------------------------
 
 
-def _recent_sessions(f: Frames, days: int = 30) -> DataFrame:
-    return windows.trailing_window(
-        f.fact_sessions, "LoginTimestamp", windows.as_of_date(f.fact_sessions, "LoginTimestamp"), days
-    )
-
-
 @query("j03_untrusted_use", stated("""
 SELECT DISTINCT s.CustomerID, s.DeviceID FROM w_s s JOIN s_devices d ON d.deviceId = s.DeviceID
 WHERE d.trusted = false""", 30))
 def _(f):
     flagged = customer_metrics.flag_usage(
-        customer_metrics.device_usage(_recent_sessions(f)), f.devices.valid
+        customer_metrics.device_usage(f.recent_sessions()), f.devices.valid
     )
     return flagged.where("IsUntrusted").select("CustomerID", "DeviceID").distinct()
 
@@ -748,7 +738,7 @@ SELECT DISTINCT s.CustomerID, s.DeviceID, s.GeoCountry, list_contains(h.countrie
 FROM w_s s JOIN home h ON h.DeviceID = s.DeviceID WHERE s.GeoCountry IS NOT NULL""", 30))
 def _(f):
     history = customer_metrics.device_home_countries(f.devices.valid)
-    used = customer_metrics.device_usage(_recent_sessions(f)).where(F.col("GeoCountry").isNotNull())
+    used = customer_metrics.device_usage(f.recent_sessions()).where(F.col("GeoCountry").isNotNull())
     return used.join(history, "DeviceID").select(
         "CustomerID", "DeviceID", "GeoCountry",
         F.array_contains("HomeCountries", F.col("GeoCountry")).alias("known"),
@@ -765,6 +755,14 @@ def _(f):
     return rounded_profile(f.profile(7))
 
 
+@query("j05_risk_profile_stored", stated("SELECT * FROM profile", 30))
+def _(f):
+    lake = f.lake("stored")
+    flat = {name: df for name, df in f.silver.items() if not name.startswith("quarantine_")}
+    gold.refresh_gold(lake, {**flat, "fraud_alerts": f.fraud_alerts.valid}, AS_OF)
+    return rounded_profile(lake.read("aggcustomerriskprofile").drop(model.LOAD_STAMP))
+
+
 @query("j07_i04_fraud_investigation", stated("""
 SELECT a.AlertID, a.CustomerID, a.Severity, a.AlertType, a.AlertTimestamp, t.TransactionID, t.Amount,
        t.TransactionType, t.Channel, t.TransactionTimestamp, t.RiskScore, t.RiskBand
@@ -807,27 +805,25 @@ FROM m_t""", 30))
 def _(f):
     recent = windows.trailing_window(
         f.fact_transactions, "TransactionTimestamp",
-        windows.as_of_date(f.transactions.valid, "TransactionTimestamp"),
+        windows.window_start(f.transactions.valid, "TransactionTimestamp"),
     )
     return rounded_profile(customer_metrics.transaction_metrics(recent))
 
 
 @query("a02_alert_metrics", stated("SELECT * FROM m_a", 30))
 def _(f):
-    recent = windows.trailing_window(
-        f.unlinked_alerts, "AlertTimestamp", windows.as_of_date(f.fact_sessions, "LoginTimestamp")
-    )
+    recent = windows.trailing_window(f.unlinked_alerts, "AlertTimestamp", f.sessions_start())
     return customer_metrics.alert_metrics(recent)
 
 
 @query("a03_session_metrics", stated("SELECT * FROM m_s", 30))
 def _(f):
-    return customer_metrics.session_metrics(_recent_sessions(f))
+    return customer_metrics.session_metrics(f.recent_sessions())
 
 
 @query("a04_untrusted_device_counts", stated("SELECT * FROM m_u", 30))
 def _(f):
-    return customer_metrics.untrusted_device_counts(_recent_sessions(f), f.devices.valid)
+    return customer_metrics.untrusted_device_counts(f.recent_sessions(), f.devices.valid)
 
 
 @query("a05_home_countries", stated("SELECT DeviceID, array_to_string(list_sort(countries), ',') AS countries FROM home"))
@@ -839,7 +835,7 @@ def _(f):
 
 @query("a06_geographic_anomalies", stated("SELECT * FROM m_g", 30))
 def _(f):
-    return customer_metrics.geographic_anomaly_counts(_recent_sessions(f), f.devices.valid)
+    return customer_metrics.geographic_anomaly_counts(f.recent_sessions(), f.devices.valid)
 
 
 @query("a07_t02_source_clocks", stated("""
@@ -847,18 +843,19 @@ SELECT 'transactions' AS source, txn_day AS as_of, (SELECT count(*) FROM w_t) AS
 UNION ALL SELECT 'sessions', session_day, (SELECT count(*) FROM w_s) FROM clocks
 UNION ALL SELECT 'alerts', session_day, (SELECT count(*) FROM w_a) FROM clocks""", 7))
 def _(f):
-    transactions_day = windows.as_of_date(f.transactions.valid, "TransactionTimestamp")
-    sessions_day = windows.as_of_date(f.fact_sessions, "LoginTimestamp")
+    transactions, moment = f.transactions.valid, "TransactionTimestamp"
+    transactions_clock = windows.as_of_date(transactions, moment), windows.window_start(transactions, moment, 7)
+    sessions_clock = windows.as_of_date(f.fact_sessions, "LoginTimestamp"), f.sessions_start(7)
     sources = (
-        ("transactions", f.transactions.valid, "TransactionTimestamp", transactions_day),
-        ("sessions", f.fact_sessions, "LoginTimestamp", sessions_day),
-        ("alerts", f.unlinked_alerts, "AlertTimestamp", sessions_day),
+        ("transactions", transactions, moment, transactions_clock),
+        ("sessions", f.fact_sessions, "LoginTimestamp", sessions_clock),
+        ("alerts", f.unlinked_alerts, "AlertTimestamp", sessions_clock),
     )
     return reduce(DataFrame.unionByName, (
-        windows.trailing_window(df, moment, day, 7).agg(F.count(F.lit(1)).alias("recent")).select(
+        windows.trailing_window(df, column, start, 7).agg(F.count(F.lit(1)).alias("recent")).select(
             F.lit(name).alias("source"), day.alias("as_of"), "recent"
         )
-        for name, df, moment, day in sources
+        for name, df, column, (day, start) in sources
     ))
 
 
@@ -936,7 +933,7 @@ def _(f):
 SELECT CustomerID, DeviceID, GeoCountry, count(*) FILTER (AuthFailedAttempts > 0) AS FailedLogins
 FROM w_s GROUP BY ALL""", 30))
 def _(f):
-    return customer_metrics.device_usage(_recent_sessions(f))
+    return customer_metrics.device_usage(f.recent_sessions())
 
 
 @query("a15_restricted_rows_visible", stated("""

@@ -16,6 +16,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Timestamps with column statistics; the default encoding has none, so nothing could be skipped.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Hash instead of sort where, at run time, every partition of a join side proves this small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }
 
 # Reducers: about 256 MiB each, but no more than the map-status bookkeeping of a wide shuffle bears.

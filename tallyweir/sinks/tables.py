@@ -14,7 +14,7 @@ from functools import partial
 from typing import Any, NamedTuple
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tallyweir import model
@@ -65,24 +65,28 @@ def _point(lake: Lake, table: str, folder: str, schema: StructType) -> None:
     )
 
 
-def overwrite(lake: Lake, df: DataFrame, table: str) -> int:
-    """Full refresh, schema replaced; returns the rows written, counted by the same job."""
+def overwrite(lake: Lake, df: DataFrame, table: str, **measures: Column) -> dict[str, Any]:
+    """Full refresh, schema replaced; returns ``rows`` and the measures, taken by the same job."""
     folder = _new_folder(lake, table)
-    counted = Observation()
-    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
+    observed = Observation()
+    named = [F.count(F.lit(1)).alias("rows"), *(m.alias(name) for name, m in measures.items())]
+    df.observe(observed, *named).write.parquet(folder)
     _point(lake, table, folder, df.schema)
-    return counted.get["rows"]
+    return observed.get
 
 
-def write_gold(lake: Lake, df: DataFrame, table: str, loaded_at: datetime | None = None) -> int:
+def write_gold(
+    lake: Lake, df: DataFrame, table: str, loaded_at: datetime | None = None, **measures: Column
+) -> dict[str, Any]:
     """Overwrite with the load stamp."""
-    stamp = F.current_timestamp() if loaded_at is None else F.lit(loaded_at)
-    return overwrite(lake, df.withColumn(model.LOAD_STAMP, stamp), table)
+    stamp = F.current_timestamp() if loaded_at is None else F.lit(loaded_at).cast("timestamp")
+    return overwrite(lake, df.withColumn(model.LOAD_STAMP, stamp), table, **measures)
 
 
 def write_result(lake: Lake, df: DataFrame, table: str, run_at: datetime) -> int:
-    """Overwrite a consumption result, all tables of a run sharing one stamp."""
-    return overwrite(lake, df.withColumn("_demo_run_at", F.lit(run_at).cast("timestamp")), table)
+    """Overwrite a consumption result, all tables of a run sharing one stamp; returns its rows."""
+    stamped = df.withColumn("_demo_run_at", F.lit(run_at).cast("timestamp"))
+    return overwrite(lake, stamped, table)["rows"]
 
 
 def append_audit(lake: Lake, df: DataFrame, table: str) -> None:
@@ -142,6 +146,7 @@ def side_by_side(lake: Lake, writes: Mapping[str, Callable[[], Any]]) -> dict[st
 
 def seed_tables(lake: Lake, sources: dict[str, DataFrame]) -> dict[str, int]:
     """Load each source into its table, replacing what is there; returns rows per table."""
-    return side_by_side(
+    written = side_by_side(
         lake, {table: partial(overwrite, lake, df, table) for table, df in sources.items()}
     )
+    return {table: result["rows"] for table, result in written.items()}

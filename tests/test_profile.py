@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.functions import rules
 from tallyweir.operators import customer_metrics as metrics
-from tallyweir.operators.windows import as_of_date, trailing_window
+from tallyweir.operators.windows import as_of_date, start_before, trailing_window, window_start
 from tallyweir.plans import gold, silver
 from tallyweir.plans.risk_profile import scored_profile
 
@@ -14,13 +14,15 @@ from tallyweir.plans.risk_profile import scored_profile
 def test_window_edges(frame):
     df = frame("n int, ts timestamp", *((n, DAY - timedelta(days=n)) for n in (0, 29, 30)),
                (100, DAY + timedelta(hours=23)))
-    kept = trailing_window(df, "ts", as_of_date(df, "ts"))
-    assert {r["n"] for r in kept.collect()} == {0, 29, 100}
+    assert df.select(as_of_date(df, "ts")).first()[0] == DAY.date()
+    for start in (window_start(df, "ts"), start_before(DAY + timedelta(hours=23)), start_before(DAY.date())):
+        assert {r["n"] for r in trailing_window(df, "ts", start).collect()} == {0, 29, 100}
 
 
 def test_window_of_nothing(frame):
     df = frame("n int, ts timestamp", (1, None))
-    assert trailing_window(df, "ts", as_of_date(df, "ts")).count() == 0
+    for start in (window_start(df, "ts"), start_before(None)):
+        assert trailing_window(df, "ts", start).count() == 0
 
 
 def test_no_sessions_means_no_document_metrics(profile_of):
