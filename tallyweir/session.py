@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Timestamps with column statistics; the default encoding has none, so nothing could be skipped.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Valid and quarantined rows go to two open files instead of being sorted apart first.
+    "spark.sql.maxConcurrentOutputFileWriters": "4",
     # Hash instead of sort where, at run time, every partition of a join side proves this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
 }

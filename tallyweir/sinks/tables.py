@@ -39,7 +39,9 @@ class Lake(NamedTuple):
         return self.spark.catalog.tableExists(f"{self.schema}.{table.lower()}")
 
     def create(self) -> Lake:
-        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted_identifier(self.schema)}")
+        self.spark.sql(
+            f"CREATE SCHEMA IF NOT EXISTS {quoted_identifier(self.schema)} LOCATION '{self.root}/{self.schema}'"
+        )
         return self
 
 
