@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from typing import NamedTuple
@@ -100,6 +101,14 @@ def _raise(spark: SparkSession, setting: str, wanted: int) -> None:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweir-")
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one, but only if driver and executors are one process: on a
+    cluster each machine would write to a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tallyweir-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
