@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -31,7 +32,7 @@ WORDS = (
 )
 ID_BYTES = 4
 # Words whose encoding a task keeps; beyond, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,15 +61,21 @@ class Vocabulary:
 class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.longest = [0] * 256
-        for token in vocabulary.ids:
-            self.longest[token[-1]] = max(self.longest[token[-1]], len(token))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.parts = {new: pair for pair, (_, new) in sorted(vocabulary.merges.items(), key=lambda m: -m[1][0])}
+        # Tokens by their bytes from the last to the first; None holds the id.
+        self.endings: dict = {}
+        for token, i in vocabulary.ids.items():
+            node = self.endings
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[None] = i
+        self.follows: dict[int, dict[int, bool]] = {}
+        self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.own: dict[int, bool] = {}
         self.packed: dict[str, bytes] = {}
 
     def _merged(self, text: bytes) -> list[int]:
-        """The merges applied one by one; only for one or two tokens' bytes."""
+        """The merges applied one by one; only for a single token's bytes."""
         ids = [self.vocabulary.ids[text[i : i + 1]] for i in range(len(text))]
         while True:
             best = min(((*self.vocabulary.merges[pair], pair) for pair in zip(ids, ids[1:], strict=False)
@@ -86,22 +93,52 @@ class TrieEncoder:
                     i += 1
             ids = out
 
-    def _follows(self, left: int, right: int) -> bool:
-        known = self.apart.get((left, right))
-        if known is None:
-            tokens = self.vocabulary.tokens
-            known = self.apart[left, right] = self._merged(tokens[left] + tokens[right]) == [left, right]
-        return known
-
     def _alone(self, token: int) -> bool:
+        """Whether the token's own bytes are encoded as the token; any other is never used."""
         known = self.own.get(token)
         if known is None:
             known = self.own[token] = self._merged(self.vocabulary.tokens[token]) == [token]
         return known
 
+    def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
+        """What stands at a token's left (0) or right (1) edge while it is built: each piece, and the rank that ends it."""
+        known = self.spines.get((token, side))
+        if known is None:
+            if token in self.parts:
+                pair = self.parts[token]
+                inner = self._spine(pair[side], side)
+                known = [*inner[:-1], (inner[-1][0], self.vocabulary.merges[pair][0]), (token, float("inf"))]
+            else:
+                known = [(token, float("inf"))]
+            self.spines[token, side] = known
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether no merge across the border of two adjacent tokens comes before those that build them.
+
+        Merges of one rank go from left to right: the left token's own before one across the border,
+        and that before the right token's own.
+        """
+        if not (self._alone(left) and self._alone(right)):
+            return False
+        merges = self.vocabulary.merges
+        lefts, rights = self._spine(left, 1), self._spine(right, 0)
+        i = j = 0
+        while True:
+            (a, a_ends), (b, b_ends) = lefts[i], rights[j]
+            across = merges.get((a, b))
+            if across is not None and across[0] < a_ends and across[0] <= b_ends:
+                return False
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+            if i == len(lefts) or j == len(rights):
+                return True
+
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each distinct word's token ids. Sorted words are the trie's paths in depth-first order."""
-        ids, tokens = self.vocabulary.ids, self.vocabulary.tokens
+        tokens, endings, follows = self.vocabulary.tokens, self.endings, self.follows
         path, last = b"", [-1]
         for word in sorted(words):
             shared = 0
@@ -111,11 +148,23 @@ class TrieEncoder:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for size in range(min(end, self.longest[word[end - 1]]), 0, -1):
-                    token = ids.get(word[end - size : end])
-                    if token is not None and (
-                        self._alone(token) if size == end else self._follows(last[end - size], token)
-                    ):
+                node, start, found = endings, end, []
+                while start:
+                    node = node.get(word[start - 1])
+                    if node is None:
+                        break
+                    start -= 1
+                    if None in node:
+                        found.append((start, node[None]))
+                for start, token in reversed(found):
+                    if start == 0:
+                        known = self._alone(token)
+                    else:
+                        before = last[start]
+                        known = follows.setdefault(before, {}).get(token)
+                        if known is None:
+                            known = follows[before][token] = self._apart(before, token)
+                    if known:
                         last.append(token)
                         break
             path = word
@@ -129,14 +178,21 @@ class TrieEncoder:
         """Keep the packed ids of words not met before."""
         if len(self.packed) > KEPT_WORDS:
             self.packed.clear()
+            self.follows.clear()
         new = {w.encode(): w for w in words if w not in self.packed}
         for word, ids in self.encode_words(new):
             self.packed[new[word]] = b"".join(i.to_bytes(ID_BYTES, "little") for i in ids)
 
 
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> TrieEncoder:
+    """One for each Python worker: later tasks go on with the words it knows."""
+    return TrieEncoder(Vocabulary(definition))
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], definition: str) -> Iterator[pa.RecordBatch]:
-    vocabulary = Vocabulary(definition)
-    encoder = TrieEncoder(vocabulary)
+    encoder = _encoder(definition)
+    vocabulary = encoder.vocabulary
     split = regex.compile(WORDS).findall
     special = {s: i.to_bytes(ID_BYTES, "little") for s, i in vocabulary.special.items()}
     parts = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda text: [text]
@@ -158,7 +214,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], definition: str) -> Iterator[pa.
 def _decoded(batches: Iterator[pa.RecordBatch], definition: str) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    get = Vocabulary(definition).tokens.__getitem__
+    get = _encoder(definition).vocabulary.tokens.__getitem__
     for batch in batches:
         for rows in slices(batch, "ids"):
             texts = [

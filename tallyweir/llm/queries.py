@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tallyweir.llm import bpe, decontaminate, warc
+from pyspark.sql import functions as F
+
+from tallyweir.llm import ann, bpe, decontaminate, url_filter, warc
 from tallyweir.llm.common import table
 
 
@@ -12,6 +14,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+URL_RULES = [
+    url_filter.Rule("com/", "allow"),
+    url_filter.Rule("example.com/en/", "block"),
+    url_filter.Rule("www.example.com/en/", "allow"),
+    url_filter.Rule("net/es/", "block"),
+    url_filter.Rule("net/fr/", "block"),
+]
+
+
+def op1_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    model = url_filter.train(url_filter.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_filter.judge(pages, model, URL_RULES)
+
+
 def op2_decontaminate(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,16 +37,19 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-def op10_warc(spark, sf_dir):
-    from pyspark.sql import functions as F
+def op9_nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0))
 
+
+def op10_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages")).select(
         "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest",
         "record_type", "refers_to",
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op5_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op5_bpe, op9_nearest, op10_warc)}
 
 ORACLES = {
     "op2_decontaminate": decontaminate.REPORT_SQL,
