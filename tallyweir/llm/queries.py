@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweir.llm import ann, bpe, decontaminate, url_filter, warc
+from tallyweir.llm import ann, bpe, decontaminate, language, url_filter, warc
 from tallyweir.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_language(spark, sf_dir):
+    return language.with_language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_nearest(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(ann.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0))
@@ -49,7 +53,7 @@ def op10_warc(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op5_bpe, op9_nearest, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op5_bpe, op7_language, op9_nearest, op10_warc)}
 
 ORACLES = {
     "op2_decontaminate": decontaminate.REPORT_SQL,
