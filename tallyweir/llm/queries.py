@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweir.llm import ann, bpe, decontaminate, html_text, language, url_filter, warc
+from tallyweir.llm import ann, bpe, decontaminate, html_text, jaccard_join, language, url_filter, warc
 from tallyweir.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op3_html_text(spark, sf_dir):
     return html_text.extract(pages, html_text.train(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.encode_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,7 +62,7 @@ def op10_warc(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_html_text, op5_bpe, op7_language, op9_nearest, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_html_text, op4_jaccard_join, op5_bpe, op7_language, op9_nearest, op10_warc)}
 
 ORACLES = {
     "op2_decontaminate": decontaminate.REPORT_SQL,
