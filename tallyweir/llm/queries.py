@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweir.llm import ann, bpe, decontaminate, html_text, jaccard_join, language, url_filter, warc
+from tallyweir.llm import ann, bpe, decontaminate, html_text, jaccard_join, language, suffix_dedup, url_filter, warc
 from tallyweir.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op7_language(spark, sf_dir):
     return language.with_language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(ann.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0))
@@ -62,7 +66,7 @@ def op10_warc(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_html_text, op4_jaccard_join, op5_bpe, op7_language, op9_nearest, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_html_text, op4_jaccard_join, op5_bpe, op7_language, op8_suffix_dedup, op9_nearest, op10_warc)}
 
 ORACLES = {
     "op2_decontaminate": decontaminate.REPORT_SQL,
