@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweir.llm import ann, bpe, decontaminate, html_text, jaccard_join, language, suffix_dedup, url_filter, warc
+from tallyweir.llm import ann, bpe, decontaminate, html_text, jaccard_join, language, quality, suffix_dedup, url_filter, warc
 from tallyweir.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op7_language(spark, sf_dir):
     return language.with_language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -66,7 +71,7 @@ def op10_warc(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_html_text, op4_jaccard_join, op5_bpe, op7_language, op8_suffix_dedup, op9_nearest, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_html_text, op4_jaccard_join, op5_bpe, op6_quality, op7_language, op8_suffix_dedup, op9_nearest, op10_warc)}
 
 ORACLES = {
     "op2_decontaminate": decontaminate.REPORT_SQL,
