@@ -1,13 +1,55 @@
-"""Corpus pipeline over ``documents``; the stages follow as their operators do."""
+"""Corpus pipeline over ``documents``: each stage works on all that the one before kept.
+
+A stage takes ``(spark, docs, sf_dir)`` and returns a frame; ``run`` writes what each returns to the
+shared folder and reads it for the next. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from tallyweir.llm import bpe, decontaminate, jaccard_join, language, suffix_dedup
+from tallyweir.llm.common import stored, table
+from tallyweir.llm.queries import tokenizer_path
+
+
+def language_id(spark, docs, sf_dir):
+    """Texts without a language go."""
+    return language.keep_identified(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of similar ones stays."""
+    return jaccard_join.keep_representatives(docs)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Byte strings that an earlier document has go from the text."""
+    return suffix_dedup.trim_repeats(docs)
+
+
+def benchmark_leaks(spark, docs, sf_dir):
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark, docs, sf_dir):
+    """Token counts and digests of the texts that are left."""
+    return bpe.encode_report(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_leaks", benchmark_leaks),
+    ("tokens", tokens),
+]
+
+#: The stages are beyond SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -351,3 +351,15 @@ def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) ->
         classes.join(found, classes.class_id == found.node, "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"))
     )
+
+
+def keep_representatives(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component, with all their columns.
+
+    Of rows that repeat a doc_id the least by all columns stays; rows without a doc_id all stay.
+    """
+    found = join(docs, size, percent)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
+    return one.select("row.*").union(docs.where("doc_id IS NULL"))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweir.llm.common import slices
 
@@ -52,7 +53,7 @@ SCRIPTS = {
 }
 
 MODEL = "lang string, grams binary, scripts binary"
-LABELLED = "doc_id bigint, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
+LABELLED = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
 
 @lru_cache(maxsize=1)
@@ -231,22 +232,25 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) -
                 for text, a, b, name in zip(words.text[first].tolist(), (words.starts[first] - base).tolist(),
                                             (words.ends[last] - base).tolist(), names[labels[first]].tolist(), strict=True):
                     spans[text].append({"start": a, "end": b, "lang": name})
+            carried = [n for n in rows.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(names[chosen].tolist(), pa.string()), pa.array(share), pa.array(spans, span)],
-                names=["doc_id", "lang_pred", "score", "spans"],
+                [*map(rows.column, carried), pa.array(names[chosen].tolist(), pa.string()), pa.array(share), pa.array(spans, span)],
+                names=[*carried, "lang_pred", "score", "spans"],
             )
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """``doc_id, lang_pred, score, spans`` of every row of ``docs``, from its whole text alone.
+def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, *carry, lang_pred, score, spans`` of every row of ``docs``, from its whole text alone.
 
     ``spans`` are the runs of words of one language (code points, end exclusive); ``lang_pred`` has
     most letters, of equal ones the first by name, and ``score`` is its share of the letters. A null
     text, or one without letters, is ``und`` with score 0 and no spans, and so is every text if the
-    model has no languages. Repeated rows are labelled each; other columns are ignored.
+    model has no languages. Repeated rows are labelled each; other columns are ignored unless carried.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _labelled(batches, sent.value, penalty), LABELLED)
+    rows = docs.select("doc_id", "text", *carry)
+    schema = T.StructType([*rows.drop("text").schema, *T.StructType.fromDDL(LABELLED)])
+    return rows.mapInArrow(lambda batches: _labelled(batches, sent.value, penalty), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -257,3 +261,15 @@ def with_language(docs: DataFrame, training_texts: int = TRAINING_TEXTS) -> Data
     """``doc_id, held_out, lang_pred, score, spans``; learned from the labelled rows that are not held out."""
     model = train(docs.where(~held_out(F.col("doc_id"))), training_texts)
     return identify(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def keep_identified(docs: DataFrame, training_texts: int = TRAINING_TEXTS) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language, with all their columns; a null ``lang`` is filled in.
+
+    Texts that are ``und`` go: null ones and those without letters.
+    """
+    model = train(docs.where(~held_out(F.col("doc_id"))), training_texts)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    found = identify(docs.select("doc_id", "text", row), model, carry=("row",)).where(F.col("lang_pred") != UNDETERMINED)
+    filled = {"lang": F.coalesce("row.lang", "lang_pred")}
+    return found.select(*(filled.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -404,3 +404,27 @@ def report(docs: DataFrame, **options) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+
+def trim_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with their repeated bytes removed from ``text`` and ``n_chars`` counted anew.
+
+    A character that lost some of its bytes goes whole, and so does a document that lost all its text.
+    Texts without repeats stay as they are, also null and empty ones.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    found = remove_repeats(docs.select("doc_id", "text", row), carry=("row",), **options)
+    found = found.where((F.octet_length("kept") > 0) | (F.size("spans") == 0))
+    schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])
+    cut = found.where(F.size("spans") > 0).select("row", "kept").mapInArrow(_decoded, schema)
+    whole = found.where(F.size("spans") == 0).select("row", F.col("row.text").alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return whole.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)).union(
+        cut.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    )
