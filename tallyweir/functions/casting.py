@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,254}")
+_PLAIN = r"[A-Za-z_][A-Za-z0-9_]{0,254}"
+_IDENTIFIER = re.compile(_PLAIN)
 
 
 def cast_if_present(df: DataFrame, column: str, to: str) -> DataFrame:
@@ -33,6 +34,16 @@ def json_scalar(document: str, path: str, to: str = "string") -> Column:
     return value if to == "string" else value.try_cast(to)
 
 
+def is_identifier(column: str) -> Column:
+    """F16 over a column of names; NULL stays NULL."""
+    return F.col(column).rlike(rf"\A{_PLAIN}\z")
+
+
+def quoted(column: str) -> Column:
+    """The back-quoted name, NULL where it is no plain identifier."""
+    return F.when(is_identifier(column), F.concat(F.lit("`"), F.col(column), F.lit("`")))
+
+
 def quoted_identifier(name: str) -> str:
     """F16: back-quoted table or schema name, refused unless it is a plain identifier."""
     if not _IDENTIFIER.fullmatch(name):

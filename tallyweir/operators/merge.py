@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweir import model
-from tallyweir.operators.skew import heavy_keys, left_lookup, mark_members
+from tallyweir.operators.skew import HEAVY_INPUT_BYTES, heavy_keys, left_lookup, mark_members
+from tallyweir.session import scan_size
 
 _KNOWN = "_known"
 _MATCHED = "_matched"
@@ -21,8 +22,14 @@ _NEW = "_new_"
 
 
 def merge_insert_missing(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Target plus the source rows whose key it lacks. NULL keys match nothing, so they are inserted."""
-    marked = mark_members(source, target, key, _KNOWN, heavy_keys(source, key))
+    """Target plus the source rows whose key it lacks. NULL keys match nothing, so they are inserted.
+
+    The target's keys are cut to those of the source first: with a source small enough for Spark to
+    broadcast, the target is scanned for one column and not shuffled.
+    """
+    asked = source.select(key).where(F.col(key).isNotNull()).distinct()
+    known = target.select(key).join(asked, key, "left_semi")
+    marked = mark_members(source, known, key, _KNOWN, heavy_keys(source, key))
     return target.unionByName(marked.where(~F.col(_KNOWN)).drop(_KNOWN))
 
 
@@ -45,7 +52,10 @@ def merge_update_matched(target: DataFrame, source: DataFrame, key: str) -> Data
     matched = F.when(F.col(_ROWS) > 1, F.raise_error(ambiguous).cast("boolean")).otherwise(
         F.col(_ROWS).isNotNull()
     )
-    joined = left_lookup(target, folded, key, heavy_keys(target, key))
+    # A heavy key of the target can only hurt beside a source too large to broadcast.
+    size = scan_size(source)
+    small = size.complete and size.known_bytes < HEAVY_INPUT_BYTES
+    joined = left_lookup(target, folded, key, () if small else heavy_keys(target, key))
     updated = {
         name: F.when(F.col(_MATCHED), F.col(_NEW + name)).otherwise(F.col(name)) for name in columns
     }
@@ -60,7 +70,7 @@ def merge_update_matched(target: DataFrame, source: DataFrame, key: str) -> Data
 def latest_documents(
     versions: DataFrame, written: Sequence[str | Column], keys: Sequence[str] = model.DOCUMENT_KEY
 ) -> DataFrame:
-    """Last write per document key, in the order of ``written``; equal moments fall back to the content.
+    """Last write per document key, in the order of ``written``; equal moments fall back to a hash of the content.
 
     An aggregate rather than a ranking window: copies of one document fold map-side, so a key with
     any number of versions never lands whole in one task.
@@ -69,7 +79,8 @@ def latest_documents(
     names = [item for item in written if isinstance(item, str)]
     body = [name for name in versions.columns if name not in names and name not in keys]
     document = F.struct(*body)
-    newest = F.max_by(document, F.struct(*order, document))
+    # A hash as tie-breaker instead of the document, which the buffer would then hold twice.
+    newest = F.max_by(document, F.struct(*order, F.xxhash64(F.to_json(document))))
     kept = versions.groupBy(*keys).agg(newest.alias("_document")).select(*keys, "_document.*")
     return kept.select(*(name for name in versions.columns if name not in names))
 
@@ -97,13 +108,15 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str | Sequence[st
     instead of a full outer join: only key and hash travel, folded map-side. Keys may repeat: then
     their row multisets are compared.
     """
+    if dict(before.dtypes) != dict(after.dtypes):
+        raise ValueError("snapshots of different columns or types: every row would read as changed")
     keys = [key] if isinstance(key, str) else list(key)
     measures = ("_before", "_after", "_before_hash", "_after_hash", "_before_check", "_after_check")
 
     def side(df: DataFrame, is_after: bool) -> DataFrame:
-        # As JSON with its NULLs: hashing the columns directly would skip them.
-        content = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-        values = (F.lit(1), F.xxhash64(content), F.xxhash64(F.lit("check"), content))
+        # Values as they are stored, to the microsecond; a hash skips NULLs, so each says whether it is one.
+        content = [c for name in sorted(df.columns) for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
+        values = (F.lit(1), F.xxhash64(*content), F.xxhash64(F.lit("check"), *content))
         zero = F.lit(0)
         columns = [
             (value if of_after == is_after else zero).cast("decimal(38,0)")

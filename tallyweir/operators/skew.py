@@ -74,13 +74,19 @@ def left_lookup(left: DataFrame, right: DataFrame, key: str, heavy: Sequence = (
 
 
 def left_fanout(left: DataFrame, right: DataFrame, key: str, heavy: Sequence = ()) -> DataFrame:
-    """Left join keeping every match; ``heavy`` are keys of the right, so each of them has a match."""
+    """Left join keeping every match; ``heavy`` are keys of the right, in a bounded list.
+
+    A listed key that the right lacks costs nothing but its look-up: its left rows come back unmatched.
+    """
     if not heavy:
         return left.join(right, key, "left")
     hot = _is_heavy(key, [value for value in heavy if value is not None])
+    # One row for each listed key at most.
+    present = F.broadcast(right.where(hot).select(key).distinct())
     return (
         left.where(~hot).join(right.where(~hot), key, "left")
         .unionByName(left.where(hot).join(right.where(hot), key, "inner"))
+        .unionByName(left.where(hot).join(present, key, "left_anti"), allowMissingColumns=True)
     )
 
 

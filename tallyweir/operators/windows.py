@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, time, timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,13 +24,20 @@ def window_start(df: DataFrame, moment: str, days: int = WINDOW_DAYS) -> Column:
     return df.select(F.date_sub(F.max(F.col(moment)).cast("date"), days - 1).cast("timestamp")).scalar()
 
 
-def start_before(last: datetime | date | None, days: int = WINDOW_DAYS) -> Column:
-    """The same bound from an already known last moment (UTC)."""
-    if last is None:
+def last_day(moment: str) -> Column:
+    """Aggregate: the last day seen, as a number of days since 1970.
+
+    A number means the same to the driver whatever its operating system's zone; a timestamp would
+    reach Python as local time.
+    """
+    return F.unix_date(F.max(F.col(moment)).cast("date"))
+
+
+def start_before(day: int | None, days: int = WINDOW_DAYS) -> Column:
+    """The same bound from an already known ``last_day``."""
+    if day is None:
         return F.lit(None).cast("timestamp")
-    day = last.date() if isinstance(last, datetime) else last
-    midnight = datetime.combine(day - timedelta(days=days - 1), time())
-    return F.lit(midnight.isoformat(sep=" ")).cast("timestamp")
+    return F.lit(date(1970, 1, 1) + timedelta(days=day - days + 1)).cast("timestamp")
 
 
 def _inside(moment: str, start: Column, days: int) -> Column:

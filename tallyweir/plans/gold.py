@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweir.functions.keys import date_key, surrogate_key
 from tallyweir.operators.skew import heavy_keys, left_fanout
-from tallyweir.operators.windows import start_before
+from tallyweir.operators.windows import last_day, start_before
 from tallyweir.plans.risk_profile import customer_risk_profile
 from tallyweir.sinks.tables import Lake, side_by_side, write_gold
 from tallyweir.sources.calendar import dim_date
@@ -163,7 +163,7 @@ def refresh_gold(
     """Rebuild the nine Gold tables from Silver; returns rows per table.
 
     Files of a fact are in time order, so a window on a stored fact skips most of each file. The
-    profile reads the stored facts through such windows, from the last moments the writes observed,
+    profile reads the stored facts through such windows, from the last days the writes observed,
     beside the stored customers.
     """
     plans = build_gold(silver, days)
@@ -174,7 +174,7 @@ def refresh_gold(
             return write_gold(lake, plans[name], name, loaded_at)
         moment = FACT_MOMENTS[name]
         in_order = plans[name].sortWithinPartitions(moment)
-        return write_gold(lake, in_order, name, loaded_at, last=F.max(moment))
+        return write_gold(lake, in_order, name, loaded_at, last=last_day(moment))
 
     written = side_by_side(lake, {name: partial(write, name) for name in plans})
     profile = customer_risk_profile(

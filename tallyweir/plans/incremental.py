@@ -36,6 +36,13 @@ NEW_MERCHANT = (
 )
 
 
+def _utc(as_of: datetime) -> datetime:
+    """A naive moment would mean the driver's zone to one reader and UTC to another."""
+    if as_of.tzinfo is None:
+        raise ValueError("as_of needs a time zone")
+    return as_of.astimezone(timezone.utc)
+
+
 def _drawn(what: str, out_of: int):
     """Deterministic number in [0, out_of) for a row's ordinal."""
     return F.pmod(F.xxhash64(F.lit(what), "Ordinal"), F.lit(out_of))
@@ -56,7 +63,7 @@ def incremental_transactions(
     """
     if base < 1 or count < 1:
         raise ValueError("base and count must be positive")
-    moment = F.lit(as_of).cast("timestamp")
+    moment = F.lit(_utc(as_of)).cast("timestamp")
     customer = _drawn("customer", CUSTOMERS) + 1
     columns = {
         "TransactionID": F.format_string("TXN-%09d", F.col("Ordinal") + 1),
@@ -87,7 +94,7 @@ def incremental_changes(spark: SparkSession, as_of: datetime) -> ChangeBatch:
     names = ("TransactionID", "RiskScore", "RiskBand", "ModelVersion", "RiskFactors")
     schema = StructType([StructField(name, model.RISK_SCORES[name].dataType) for name in names])
     scores = rows_frame(spark, CHANGED_SCORES, schema).withColumn(
-        "ScoredTimestamp", F.lit(as_of).cast("timestamp")
+        "ScoredTimestamp", F.lit(_utc(as_of)).cast("timestamp")
     )
     return ChangeBatch(
         scores.select(*model.RISK_SCORES.names), rows_frame(spark, [NEW_MERCHANT], model.MERCHANTS)
@@ -110,7 +117,7 @@ def apply_table_batches(
 
 def document_batch(spark: SparkSession, as_of: datetime) -> dict[str, DataFrame]:
     """A new session, a device that lost trust, a new alert and a changed one, tagged by change."""
-    anchor = as_of.astimezone(timezone.utc) if as_of.tzinfo else as_of.replace(tzinfo=timezone.utc)
+    anchor = _utc(as_of)
 
     def iso(shift: timedelta = timedelta()) -> str:
         return (anchor + shift).strftime("%Y-%m-%dT%H:%M:%S.") + f"{anchor.microsecond // 1000:03d}Z"

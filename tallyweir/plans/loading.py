@@ -16,7 +16,7 @@ from tallyweir.plans.incremental import (
     apply_table_batches, incremental_changes, incremental_transactions,
 )
 from tallyweir.sinks.tables import Lake, overwrite, seed_tables, side_by_side
-from tallyweir.sources.documents import read_documents
+from tallyweir.sources.documents import LOAD_ORDER, read_documents
 from tallyweir.sources.tables import SourceUnavailable, read_table, require_tables
 
 TABLE_SCHEMAS = {
@@ -54,7 +54,9 @@ def documents_in(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     found = {}
     for container in model.DOCUMENT_SOURCES:
         try:
-            found[container] = read_documents(spark, f"{folder}/{container}.jsonl", container)
+            found[container] = read_documents(
+                spark, f"{folder}/{container}.jsonl", container, positions=True
+            )
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise SourceUnavailable(f"{container} is not readable: {error}") from error
@@ -62,11 +64,16 @@ def documents_in(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def upsert_into(lake: Lake, batches: Mapping[str, DataFrame]) -> dict[str, int]:
-    """M03 on the stored containers, creating them on the first load; returns rows per container."""
+    """M03 on the stored containers, creating them on the first load; returns rows per container.
+
+    Of a key's versions in a batch the one loaded last stays, where the batch says in what order they
+    lay (``read_documents(positions=True)``).
+    """
     def merged(container: str, batch: DataFrame) -> DataFrame:
+        written = [name for name in LOAD_ORDER if name in batch.columns]
         if not lake.exists(container):
-            return latest_documents(batch, ())
-        return upsert_documents(lake.read(container), batch)
+            return latest_documents(batch, written)
+        return upsert_documents(lake.read(container), batch, written)
 
     written = side_by_side(lake, {
         container: partial(overwrite, lake, merged(container, batch), container)

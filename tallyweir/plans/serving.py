@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import partial
 from typing import NamedTuple
 
@@ -127,6 +127,6 @@ def restricted_rows_visible(snapshot: DataFrame, claim: str | None) -> DataFrame
     )
 
 
-def preview(view: DataFrame, n: int = 5) -> DataFrame:
-    """A first look at a view."""
-    return view.limit(n)
+def preview(view: DataFrame, by: Sequence[str], n: int = 5) -> DataFrame:
+    """A first look at a view, its first rows by the view's key."""
+    return view.orderBy(*by).limit(n)

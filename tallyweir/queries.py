@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyweir import model
 from tallyweir.frames import Frames, portable, rounded_profile, without_keys
 from tallyweir.functions import rules
-from tallyweir.functions.casting import cast_if_present
+from tallyweir.functions.casting import cast_if_present, is_identifier, quoted
 from tallyweir.functions.keys import surrogate_key
 from tallyweir.operators import checks, counts, customer_metrics, governance, merge, windows
 from tallyweir.operators.quality import VALID, with_verdict
@@ -559,6 +559,20 @@ def _(f):
     ))
 
 
+@query("f16_safe_identifiers", """
+SELECT name, regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]{0,254}') AS accepted,
+       CASE WHEN regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]{0,254}') THEN '`' || name || '`' END AS quoted
+FROM (SELECT DISTINCT unnest([n_name, n_name || '#1', replace(n_name, ' ', '_')]) AS name FROM nation)""")
+def _(f):
+    nations = tables.read_path(f.spark, f"{f.sf_dir}/nation.parquet")
+    named = nations.select(F.explode(F.array(
+        "n_name", F.concat("n_name", F.lit("#1")), F.replace("n_name", F.lit(" "), F.lit("_"))
+    )).alias("name"))
+    return named.distinct().select(
+        "name", is_identifier("name").alias("accepted"), quoted("name").alias("quoted")
+    )
+
+
 # --- projections ------------------------------------------------------------------------------
 
 
@@ -947,9 +961,12 @@ def _(f):
     ))
 
 
-@query("l02_view_preview")
+@query("l02_view_preview", stated("""
+SELECT deviceId AS DeviceID, customerId AS CustomerID, operatingSystem AS OS,
+       CASE WHEN deviceFingerprint IS NOT NULL THEN 'XXXX' END AS DeviceFingerprint, trusted AS IsTrusted
+FROM s_devices ORDER BY deviceId, customerId LIMIT 5"""))
 def _(f):
-    return serving.preview(without_keys(serving.governed("dimdevice", f.device_dimension)))
+    return serving.preview(without_keys(serving.governed("dimdevice", f.device_dimension)), ("DeviceID", "CustomerID"))
 
 
 @query("u02_stacked_counts", stated("""
@@ -974,11 +991,29 @@ def _(f):
         # Arrives in the same folder; the second load replaces every document of the first.
         bindings.session_lines(version).write.mode("append").text(f"{folder}/in")
         streaming.start_ingest(
-            f.spark, f"{folder}/in", "digitalSessions", f"{folder}/log", f"{folder}/checkpoint"
+            f.spark, f"{folder}/in", "digitalSessions", f"{folder}/log", f"{folder}/checkpoint",
+            rejects=f"{folder}/rejects",
         ).awaitTermination()
-    return streaming.current_documents(f.spark, f"{folder}/log", "digitalSessions").where(
-        "sessionRiskScore >= 0"
-    ).select("id", "customerId", "sessionId", "device", "authentication", "sessionRiskScore")
+    return streaming.current_documents(f.spark, f"{folder}/log", "digitalSessions").select(
+        "id", "customerId", "sessionId", "device", "authentication", "sessionRiskScore"
+    )
+
+
+@query("t01_rejected_documents", stated(f"""
+SELECT 'accepted' AS outcome, count(*) FILTER ({_ACCEPTED}) AS lines FROM src_sessions
+UNION ALL SELECT 'rejected', count(*) FILTER (NOT ({_ACCEPTED})) FROM src_sessions
+UNION ALL SELECT 'in all', count(*) FROM src_sessions"""))
+def _(f):
+    folder = shared_folder(f.spark, "rejects")
+    bindings.session_lines(f.sources.digital_sessions).write.text(f"{folder}/in")
+    streaming.start_ingest(
+        f.spark, f"{folder}/in", "digitalSessions", f"{folder}/log", f"{folder}/checkpoint",
+        rejects=f"{folder}/rejects",
+    ).awaitTermination()
+    accepted = f.spark.read.parquet(f"{folder}/log")
+    rejected = streaming.rejected_lines(f.spark, f"{folder}/rejects")
+    both = accepted.select(F.lit("accepted").alias("outcome")).unionAll(rejected.select(F.lit("rejected")))
+    return both.unionAll(both.select(F.lit("in all"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("lines"))
 
 
 # --- validation, gates, audit -----------------------------------------------------------------

@@ -146,6 +146,36 @@ def side_by_side(lake: Lake, writes: Mapping[str, Callable[[], Any]]) -> dict[st
         return {name: job.result() for name, job in running.items()}
 
 
+def vacuum(lake: Lake, table: str, keep: int = 2) -> list[str]:
+    """Remove superseded versions of a table but the ``keep`` latest; returns the folders removed.
+
+    The version the name points at always stays, whatever its age, and so does any folder that other
+    tables of the schema point into (a split write serves two). Run it when no plan still reads an
+    old version.
+    """
+    spark = lake.spark
+    live = {path.split("://")[-1].lstrip("/") for name in spark.catalog.listTables(lake.schema) if not name.isTemporary
+            for path in [_location(lake, name.name)]}
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{lake.root}/{lake.schema}/{table.lower()}")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    versions = sorted(files.listStatus(folder), key=lambda s: -s.getModificationTime())
+    plain = lambda status: status.getPath().toUri().getPath().lstrip("/")
+    superseded = [v for v in versions if not any((used + "/").startswith(plain(v) + "/") for used in live)]
+    removed = []
+    for version in superseded[max(0, keep):]:
+        files.delete(version.getPath(), True)
+        removed.append(str(version.getPath()))
+    return removed
+
+
+def _location(lake: Lake, table: str) -> str:
+    described = lake.spark.sql(f"DESCRIBE TABLE EXTENDED {lake.name(table)}")
+    path = described.where("col_name = 'Location'").first()["data_type"]
+    return lake.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
+
+
 def seed_tables(lake: Lake, sources: dict[str, DataFrame]) -> dict[str, int]:
     """Load each source into its table, replacing what is there; returns rows per table."""
     written = side_by_side(

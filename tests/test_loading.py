@@ -38,6 +38,24 @@ def test_documents_load_from_files(spark, lake, folder):
     assert device["trusted"] is False and device["appVersion"] is None
 
 
+def test_the_last_line_of_a_loaded_file_wins(spark, lake, folder):
+    for load, versions in enumerate((["zzz", "aaa"], ["b", "y", "c"])):
+        lines = [(json.dumps({"id": "D1", "customerId": "c", "appVersion": v}),) for v in versions]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{folder}/{load}/devices.jsonl")
+        loading.upsert_into(lake, loading.documents_in(spark, f"{folder}/{load}"))
+        stored = lake.read("devices").collect()
+        assert [r["appVersion"] for r in stored] == versions[-1:] and "_line" not in lake.read("devices").columns
+
+
+def test_a_moment_without_zone_is_refused(spark):
+    from tallyweir.plans import incremental
+
+    for build in (lambda t: incremental.incremental_transactions(spark, 1, 1, t),
+                  lambda t: incremental.incremental_changes(spark, t), lambda t: incremental.document_batch(spark, t)):
+        with pytest.raises(ValueError, match="time zone"):
+            build(datetime(2026, 2, 1))
+
+
 def test_a_small_batch_does_not_shuffle_its_target(spark, lake, rows):
     from tallyweir.operators.merge import merge_update_matched
     from tallyweir.plans.incremental import incremental_changes

@@ -80,6 +80,26 @@ def test_snapshot_changes(frame):
     assert content(swapped) == [("x", "update")]
 
 
+def test_snapshot_changes_see_microseconds_and_refuse_other_columns(frame):
+    at = lambda micro: datetime(2026, 1, 31, 5, 0, 0, micro)
+    schema = "k string, at timestamp"
+    changed = merge.snapshot_changes(frame(schema, ("x", at(123456)), ("y", at(1))), frame(schema, ("x", at(123999)), ("y", at(1))), "k")
+    assert content(changed) == [("x", "update")]
+    with pytest.raises(ValueError, match="columns"):
+        merge.snapshot_changes(frame(KV, ("a", 1)), frame("k string, w int", ("a", 1)), "k")
+
+
+def test_a_small_batch_leaves_the_target_unshuffled(spark, frame):
+    target = spark.range(0, 2_000_000, 1, 4).select(F.col("id").cast("string").alias("k"), F.col("id").cast("int").alias("v"))
+    source = frame(KV, ("5", 1), ("new", 2))
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # The target's keys meet the batch's in a broadcast; only the few that are found travel.
+    semi = next(line for line in plan_of(merge.merge_insert_missing(target, source, "k")).splitlines() if "LeftSemi" in line)
+    assert "BroadcastHashJoin" in semi
+    assert "SortMergeJoin" not in plan_of(merge.merge_update_matched(target, source, "k"))
+    assert merge.merge_insert_missing(target, source, "k").count() == 2_000_001
+
+
 AS_OF = datetime(2026, 2, 1, tzinfo=timezone.utc)
 
 

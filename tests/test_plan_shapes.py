@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.frames import Frames
 from tallyweir.operators import customer_metrics
-from tallyweir.operators.windows import start_before, trailing_window, window_start
+from tallyweir.operators.windows import last_day, start_before, trailing_window, window_start
 from tallyweir.queries import QUERIES
 from tallyweir.sinks import tables as sinks
 
@@ -70,7 +70,7 @@ def test_window_skips_most_of_a_file_in_time_order(spark, lake, known):
     stored = spark.range(0, 1_000_000, 1, 2).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"))
     sinks.overwrite(lake, stored.sortWithinPartitions("ts"), "t")
     table = lake.read("t")
-    start = start_before(table.agg(F.max("ts")).first()[0], 7) if known else window_start(table, "ts", 7)
+    start = start_before(table.agg(last_day("ts")).first()[0], 7) if known else window_start(table, "ts", 7)
     kept = trailing_window(table, "ts", start, 7)
     assert len(kept.collect()) == 6 * 24 * 60 + 1_000_000 % (24 * 60)
     assert scanned_rows(kept) < 100_000

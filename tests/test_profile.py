@@ -1,3 +1,4 @@
+import time
 from datetime import timedelta
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.functions import rules
 from tallyweir.operators import customer_metrics as metrics
-from tallyweir.operators.windows import as_of_date, start_before, trailing_window, window_start
+from tallyweir.operators.windows import as_of_date, last_day, start_before, trailing_window, window_start
 from tallyweir.plans import gold, silver
 from tallyweir.plans.risk_profile import scored_profile
 
@@ -15,7 +16,7 @@ def test_window_edges(frame):
     df = frame("n int, ts timestamp", *((n, DAY - timedelta(days=n)) for n in (0, 29, 30)),
                (100, DAY + timedelta(hours=23)))
     assert df.select(as_of_date(df, "ts")).first()[0] == DAY.date()
-    for start in (window_start(df, "ts"), start_before(DAY + timedelta(hours=23)), start_before(DAY.date())):
+    for start in (window_start(df, "ts"), start_before(df.agg(last_day("ts")).first()[0])):
         assert {r["n"] for r in trailing_window(df, "ts", start).collect()} == {0, 29, 100}
 
 
@@ -178,3 +179,23 @@ def test_missing_keys_share_one_hash(rows):
     fact = gold.fact_digital_sessions(silver.silver_split("sessions", rows("digitalSessions", {"device": "{}"})).valid)
     assert fact.first()["DeviceSK"] == 42
     assert len(fact.columns) == 18
+
+
+@pytest.fixture
+def driver_zone(monkeypatch):
+    def set_to(zone):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+    yield set_to
+    monkeypatch.undo()
+    time.tzset()
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Pacific/Kiritimati"])
+def test_stored_profile_does_not_depend_on_the_drivers_zone(spark, driver_zone, zone):
+    from tallyweir.queries import QUERIES
+
+    content = lambda name: sorted(map(str, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    expected = content("j05_risk_profile")
+    driver_zone(zone)
+    assert content("j05_risk_profile_stored") == expected

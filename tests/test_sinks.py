@@ -22,6 +22,20 @@ def test_overwrite_keeps_the_superseded_folder_readable(lake, frame):
     assert sorted(r["a"] for r in lake.read("t").collect()) == [2, 3]
 
 
+def test_vacuum_never_touches_what_a_name_points_at(spark, lake, frame):
+    for n in range(4):
+        sinks.overwrite(lake, frame("a int", (n,)), "t")
+    tagged = with_verdict(spark.range(10), F.col("id") % 2 == 0)
+    for _ in range(2):
+        sinks.write_split(lake, tagged, "s", ["id"], ["id"])
+    assert len(sinks.vacuum(lake, "t", keep=1)) == 2
+    assert len(sinks.vacuum(lake, "s", keep=0)) == 1
+    assert len(sinks.vacuum(lake, "t", keep=0)) == 1 and sinks.vacuum(lake, "t", keep=0) == []
+    assert lake.read("t").first()["a"] == 3
+    assert lake.read("s").count() == lake.read("quarantine_s").count() == 5
+    assert sinks.vacuum(lake, "absent") == []
+
+
 def test_side_by_side_returns_or_raises(lake):
     assert sinks.side_by_side(lake, {"a": lambda: 1, "b": lambda: 2}) == {"a": 1, "b": 2}
     try:

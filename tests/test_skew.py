@@ -32,7 +32,7 @@ def test_lookup_is_the_left_join_whatever_is_heavy(hot, frame, heavy):
         assert content(spread.select("k", "n", "v")) == content(plain)
 
 
-@pytest.mark.parametrize("heavy", [(), ("hot",), ("hot", "k5"), (None, "hot")])
+@pytest.mark.parametrize("heavy", [(), ("hot",), ("hot", "k5"), (None, "hot"), ("absent",), ("none", "hot")])
 def test_fanout_is_the_left_join_whatever_is_heavy(hot, frame, heavy):
     left = frame("k string, x int", ("hot", 1), ("hot", 2), ("k5", 3), ("none", 4), (None, 5))
     expected = content(left.join(hot, "k", "left"))

@@ -15,7 +15,9 @@ def device(n, trusted=True, customer="CUST-000001", **more):
 def ingest(spark, folder):
     def run(lines):
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(folder + "/in")
-        streaming.start_ingest(spark, folder + "/in", "devices", folder + "/log", folder + "/cp").awaitTermination()
+        streaming.start_ingest(
+            spark, folder + "/in", "devices", folder + "/log", folder + "/cp", rejects=folder + "/rejects"
+        ).awaitTermination()
         return streaming.current_documents(spark, folder + "/log", "devices")
     return run
 
@@ -36,6 +38,17 @@ def test_stream_equals_batch_upsert(spark, ingest, folder):
     assert current.columns == names and content(current) == content(expected.select(*names))
     replaced = current.where("id = 'D1' AND customerId = 'CUST-000001'").first()
     assert replaced["trusted"] is False and replaced["appVersion"] is None
+    rejected = streaming.rejected_lines(spark, folder + "/rejects")
+    assert sorted(r["line"] for r in rejected.collect()) == ['{"id":"nokey"}', "{broken"]
+    assert all(r["_file"] and r["_batch"] is not None for r in rejected.collect())
+    assert spark.read.parquet(folder + "/log").count() + rejected.count() == 7
+
+
+def test_without_a_place_for_rejects_a_bad_line_stops_the_stream(spark, folder):
+    spark.createDataFrame([(x,) for x in (device(1), "{broken")], "value string").write.text(folder + "/in")
+    running = streaming.start_ingest(spark, folder + "/in", "devices", folder + "/log", folder + "/cp")
+    with pytest.raises(Exception, match="required"):
+        running.awaitTermination()
 
 
 def test_last_line_of_a_file_wins(ingest):
