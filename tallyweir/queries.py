@@ -982,13 +982,15 @@ def _(f):
 
 
 @query("t01_streamed_documents", stated(f"""
-SELECT id, customerId, sessionId, device, authentication, sessionRiskScore FROM src_sessions WHERE {_ACCEPTED}"""))
+SELECT id, customerId, sessionId, CASE WHEN {_ACCEPTED} THEN device ELSE '{{}}' END AS device, authentication,
+       CASE WHEN {_ACCEPTED} THEN sessionRiskScore ELSE -1 END AS sessionRiskScore
+FROM src_sessions WHERE customerId IS NOT NULL"""))
 def _(f):
     folder = shared_folder(f.spark, "stream")
     sessions = f.sources.digital_sessions
     earlier = sessions.withColumn("sessionRiskScore", F.lit(-1)).withColumn("device", F.lit("{}"))
     for version in (earlier, sessions):
-        # Arrives in the same folder; the second load replaces every document of the first.
+        # Arrives in the same folder; the second load replaces the documents it has an acceptable line for.
         bindings.session_lines(version).write.mode("append").text(f"{folder}/in")
         streaming.start_ingest(
             f.spark, f"{folder}/in", "digitalSessions", f"{folder}/log", f"{folder}/checkpoint",
