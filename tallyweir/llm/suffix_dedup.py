@@ -298,10 +298,11 @@ def _lost_windows(texts: list[bytes], least: np.ndarray, length: int) -> tuple[n
     offset = order.suffixes - (ends[fragment] - sizes[fragment])
     window = (offset + length <= sizes[fragment]) & (order.suffixes < ends[-1])
     # The common prefix with the window before, past the suffixes between that are no windows.
-    same = np.minimum.reduceat(order.common, np.concatenate(([0], np.flatnonzero(window)[:-1] + 1)))[: int(window.sum())] if window.any() else np.zeros(0)
-    fragment, offset = fragment[window], offset[window]
-    if not len(fragment):
+    at = np.flatnonzero(window)
+    if not len(at):
         return (np.zeros(0, np.int64),) * 3
+    same = np.minimum.reduceat(order.common[: at[-1] + 1], np.append(0, at[:-1] + 1))
+    fragment, offset = fragment[window], offset[window]
     group = np.flatnonzero(np.append(True, same[1:] < length))
     smallest = np.repeat(np.minimum.reduceat(least[fragment], group), np.diff(np.append(group, len(fragment))))
     lost = smallest < least[fragment]
