@@ -84,7 +84,7 @@ class _Writer:
 
     def page(self) -> str:
         body = []
-        if self.chance(0.4):
+        if self.chance(0.6):
             body.append(f'<header data-main="0"><h1>{self.words(1, 4)}</h1>{self.menu() if self.chance(0.5) else ""}</header>')
         if self.chance(0.9):
             body.append(self.menu())

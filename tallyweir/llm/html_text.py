@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import slices
+from tallyweir.llm.common import least_by_hash, slices
 from tallyweir.llm.html_pages import labelled_pages
 
 # Fixed values of HTML: elements without an end tag, and those inside a line of text.
@@ -37,6 +37,7 @@ CLOSED_BY = {
     "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]),
 }
 SCOPES = frozenset("body div ul ol dl table td th tr article section aside nav main header footer form blockquote".split())
+SECTIONS = frozenset("article aside footer form header main nav section".split())
 NAME_WORDS = re.compile(r"[a-z]+")
 LABEL = "data-main"
 
@@ -58,6 +59,7 @@ def _hashed(name: str) -> int:
 
 class _Frame(NamedTuple):
     tag: str
+    section: str  # the nearest section element, or element with a name, around a block
     features: frozenset[int]
     label: int
 
@@ -65,7 +67,7 @@ class _Frame(NamedTuple):
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Frame("", frozenset(), 0)]
+        self.stack = [_Frame("", "", frozenset(), 0)]
         self.blocks: list[Block] = []
         self.pieces: list[str] = []
         self.linked = 0
@@ -85,14 +87,16 @@ class _Blocks(HTMLParser):
             if open_tag in SCOPES and open_tag not in CLOSED_BY:
                 break
         above = self.stack[-1]
-        label, names = above.label, [] if tag in INLINE else [f"in {tag}"]
+        label, names, section = above.label, [] if tag in INLINE else [f"in {tag}"], tag if tag in SECTIONS else above.section
         for key, value in attrs:
             if key == LABEL:
                 label = int(value == "1")
             elif key in ("class", "id", "role") and value and tag not in INLINE:
-                names += [f"named {w}" for w in NAME_WORDS.findall(value.lower())]
+                found = NAME_WORDS.findall(value.lower())
+                names += [f"named {w}" for w in found]
+                section = found[0] if found and key != "role" else section
         new = {_hashed(n) for n in names}
-        self.stack.append(_Frame(tag, above.features if new <= above.features else above.features | new, label))
+        self.stack.append(_Frame(tag, section, above.features if new <= above.features else above.features | new, label))
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
@@ -133,7 +137,7 @@ class _Blocks(HTMLParser):
     def _features(self, text: str, frame: _Frame, linked: float) -> tuple[int, ...]:
         words = text.count(" ") + 1
         own = (
-            f"parent {frame.tag}", f"words {min(words.bit_length(), 8)}", f"linked {int(linked * 4)}",
+            f"parent {frame.tag}", f"section {frame.section}", f"{frame.tag} of section {frame.section}", f"words {min(words.bit_length(), 8)}", f"linked {int(linked * 4)}",
             f"stops {min(sum(map(text.count, '.,;!?')), 4)}", f"mark {'©' in text or '|' in text}", "any",
         )
         return (*frame.features, *map(_hashed, own))
@@ -241,11 +245,8 @@ def train(pages: DataFrame | None = None, sample_pages: int = SAMPLE_PAGES) -> M
     """
     labelled = [blocks_of(page) for page in labelled_pages()]
     if pages is not None:
-        own = (
-            pages.select("html").where(F.contains("html", F.lit("<article")))
-            .orderBy(F.xxhash64("html"), "html").limit(sample_pages).collect()
-        )
-        for row in own:
+        marked = pages.select("html").where(F.contains("html", F.lit("<article")))
+        for row in least_by_hash(marked, sample_pages, "html").collect():
             page = re.sub(r"<(nav|header|footer|aside|form)\b", rf'<\1 {LABEL}="0"', row.html)
             labelled.append(blocks_of(re.sub(r"<article\b", f'<article {LABEL}="1"', page)))
     return fit(labelled)
