@@ -166,6 +166,40 @@ def schema_variation(documents: DataFrame, container: str) -> DataFrame:
     )
 
 
+def document_checks(
+    containers: Mapping[str, DataFrame], expected: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """V08 together: (check, violations) over every document of the containers; ``require_clean`` raises on it.
+
+    Required fields, customer and device patterns, ids that occur more than once over all partition
+    keys, an optional field that is on all documents or none, and, for containers with ``expected``
+    ids, what is missing or unexpected.
+    """
+    def counted(rows: DataFrame, container: str, label: str) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("violations")).select(
+            F.lit(f"{container}: {label}").alias("check"), "violations"
+        )
+
+    parts = []
+    for container, documents in containers.items():
+        measured = document_violations(documents, container)
+        labels = {"missing_required": "required fields present", "bad_customer_id": "customerId well formed",
+                  "bad_device_id": "deviceId well formed"}
+        pairs = F.array(*(
+            F.struct(F.lit(f"{container}: {label}").alias("check"), F.col(name).cast("bigint").alias("violations"))
+            for name, label in labels.items()
+        ))
+        parts += [measured.select(F.inline(pairs)), counted(duplicate_keys(documents, "id"), container, "id unique")]
+        if container in model.OPTIONAL_FIELD:
+            uniform = schema_variation(documents, container).where(~F.col("varies"))
+            parts.append(counted(uniform, container, f"{model.OPTIONAL_FIELD[container]} varies"))
+        if expected and container in expected:
+            both = id_differences(expected[container], documents, "id")
+            for kind in ("missing", "unexpected"):
+                parts.append(counted(both.where(F.col("difference") == kind), container, f"no {kind} ids"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def gate_nonempty(frames: Mapping[str, DataFrame]) -> dict[str, int]:
     """Rows per table, all counted in one job; an empty table stops the run."""
     counted = {row["table_name"]: row["row_count"] for row in row_counts(frames).collect()}
@@ -216,7 +250,7 @@ def table_checks(transactions: DataFrame, risk: DataFrame, merchants: DataFrame)
 
 
 def require_clean(checks: DataFrame) -> None:
-    """Stop when any check of ``table_checks`` has violations, naming them (a handful of rows)."""
+    """Stop when any check of ``table_checks`` or ``document_checks`` has violations, naming them (a handful of rows)."""
     broken = checks.where(F.col("violations") > 0).collect()
     if broken:
         listed = "; ".join(f"{row['check']} ({row['violations']})" for row in broken)

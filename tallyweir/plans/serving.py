@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyweir import model
 from tallyweir.functions.masking import full_mask, partial_mask
 from tallyweir.operators.checks import gate_nonempty
-from tallyweir.operators.governance import RESTRICTED_BAND, secure_rows
+from tallyweir.operators.governance import PERMITTED_COLUMNS, RESTRICTED_BAND, permitted_columns, secure_rows
 from tallyweir.plans.gold import MERCHANT_COLUMNS
 from tallyweir.plans.risk_profile import PROFILE_COLUMNS
 from tallyweir.sinks.tables import Lake, overwrite, side_by_side
@@ -84,14 +84,21 @@ def serving_views(
     snapshots: Mapping[str, DataFrame] | None = None,
     claim: str | None = None,
     privileged: bool = False,
+    plain_reader: bool = False,
 ) -> dict[str, DataFrame]:
-    """The nine views as frames; governed ones over their snapshots where given."""
+    """The nine views as frames; governed ones over their snapshots where given.
+
+    A ``plain_reader`` sees only the permitted columns of the tables that have a list of them (P14).
+    """
     base = {**gold, **(snapshots or {})}
-    return {
+    views = {
         table: governed(table, base[table], claim, privileged) if table in GOVERNED
         else served(table, base[table])
         for table in VIEW_COLUMNS
     }
+    if plain_reader:
+        views |= {table: permitted_columns(views[table], names) for table, names in PERMITTED_COLUMNS.items()}
+    return views
 
 
 class Published(NamedTuple):
@@ -100,7 +107,8 @@ class Published(NamedTuple):
 
 
 def publish(
-    serving: Lake, gold: Mapping[str, DataFrame], claim: str | None = None, privileged: bool = False
+    serving: Lake, gold: Mapping[str, DataFrame], claim: str | None = None, privileged: bool = False,
+    plain_reader: bool = False,
 ) -> Published:
     """V02, K05, P16 in one step: gate, snapshot, then views under the serving schema's name.
 
@@ -112,7 +120,7 @@ def publish(
         table: partial(overwrite, serving, gold[table], f"_base_{table}") for table in GOVERNED
     })
     snapshots = {table: serving.read(f"_base_{table}") for table in GOVERNED}
-    views = serving_views(gold, snapshots, claim, privileged)
+    views = serving_views(gold, snapshots, claim, privileged, plain_reader)
     for table, view in views.items():
         view.createOrReplaceTempView(f"{serving.schema}_{table}")
     return Published(views, gold_rows)

@@ -1161,6 +1161,26 @@ def _(f):
     ))
 
 
+@query("v08_document_checks", stated("""
+, ghosts AS (SELECT DISTINCT printf('DEV-%06d', unnest([u * 3, u * 3 + 1, u * 3 + 2])) AS id
+  FROM (SELECT DISTINCT user_id + 5 AS u FROM events)
+), d AS (
+  SELECT unnest([
+    {'check': 'devices: required fields present', 'violations': count(*) FILTER (deviceId IS NULL OR customerId IS NULL OR trusted IS NULL)},
+    {'check': 'devices: customerId well formed', 'violations': count(*) FILTER (NOT coalesce(regexp_full_match(customerId, 'CUST-[0-9]{6}'), false))},
+    {'check': 'devices: deviceId well formed', 'violations': count(*) FILTER (NOT regexp_full_match(deviceId, 'DEV-[0-9]{6}'))},
+    {'check': 'devices: id unique', 'violations': (SELECT count(*) FROM (SELECT id FROM src_devices GROUP BY id HAVING count(*) > 1))},
+    {'check': 'devices: geoHistory varies', 'violations': CASE WHEN count(geoHistory) > 0 AND count(geoHistory) < count(*) THEN 0 ELSE 1 END::BIGINT},
+    {'check': 'devices: no missing ids', 'violations': (SELECT count(*) FROM ghosts WHERE id NOT IN (SELECT id FROM src_devices WHERE id IS NOT NULL))},
+    {'check': 'devices: no unexpected ids', 'violations': (SELECT count(DISTINCT id) FROM src_devices WHERE id NOT IN (SELECT id FROM ghosts))}
+  ]) AS c FROM src_devices
+)
+SELECT c.check AS "check", c.violations AS violations FROM d"""))
+def _(f):
+    ghosts = bindings.devices(f.driver("events").withColumn("user_id", F.col("user_id") + 5))
+    return checks.document_checks({"devices": f.sources.devices}, {"devices": ghosts.select("id")})
+
+
 @query("v08_duplicate_ids", stated("""
 SELECT id, count(*) AS "rows" FROM (
   SELECT id FROM src_devices UNION ALL

@@ -33,3 +33,16 @@ def test_views_mask_unless_privileged(frame):
         "DeviceFingerprint string, IsTrusted boolean", (1, "d", "c", 2, "os", "secret", True))
     assert serving.governed("dimdevice", device).first()["DeviceFingerprint"] == "XXXX"
     assert serving.governed("dimdevice", device, privileged=True).first()["DeviceFingerprint"] == "secret"
+
+
+def test_a_plain_readers_views_hold_permitted_columns_only(profile_of, sources):
+    from tallyweir.plans.gold import build_gold
+    from tallyweir.plans.silver import build_silver, flat_frames
+
+    gold = build_gold(flat_frames(build_silver(sources(devices=[{}], transactions=[{}]))))
+    plain = serving.serving_views(gold, plain_reader=True)
+    full = serving.serving_views(gold)
+    assert plain["dimcustomer"].columns == ["CustomerSK"] and "DeviceFingerprint" not in plain["dimdevice"].columns
+    assert all(plain[t].columns == full[t].columns for t in full if t not in PERMITTED_COLUMNS)
+    for table, names in PERMITTED_COLUMNS.items():
+        assert {c.lower() for c in plain[table].columns} <= set(names)

@@ -109,6 +109,17 @@ def test_document_checks(rows):
     assert checks.document_violations(sessions, "digitalSessions").first()["bad_device_id"] == 1
 
 
+def test_document_checks_together_raise(rows, frame):
+    devices = rows("devices", {"geoHistory": None}, {"customerId": "C1"}, {"customerId": "CUST-000002"}, {"deviceId": "D-1", "id": "D2"})
+    found = checks.document_checks({"devices": devices}, {"devices": frame("id string", ("DEV-000001",), ("D3",))})
+    counted = {r["check"]: r["violations"] for r in found.collect()}
+    assert counted["devices: customerId well formed"] == 1 and counted["devices: deviceId well formed"] == 1
+    assert counted["devices: id unique"] == 1 and counted["devices: geoHistory varies"] == 0
+    assert counted["devices: no missing ids"] == 1 and counted["devices: no unexpected ids"] == 1
+    with pytest.raises(checks.CheckFailed, match="devices: id unique"):
+        checks.require_clean(found)
+
+
 def test_id_differences(frame):
     found = checks.id_differences(frame("id int", (1,), (2,), (2,)), frame("id int", (2,), (3,), (3,)), "id")
     assert {tuple(r) for r in found.collect()} == {(1, "missing"), (3, "unexpected")}
