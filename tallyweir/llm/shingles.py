@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -13,17 +11,16 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=1)
-def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(count, BASE))))
-    down = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(count, inverse))))
-    return up, down
+_known: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(23, int(count).bit_length()))
+    """At least ``count`` powers of the base and of its inverse modulo 2**64, kept by the worker."""
+    if not _known or len(_known[0][0]) < count:
+        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        size = -(-count // (1 << 20)) << 20
+        _known[:] = [tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x))) for x in (BASE, inverse))]
+    return _known[0]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

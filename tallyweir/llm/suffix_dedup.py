@@ -30,20 +30,21 @@ from tallyweir.llm.suffix_sort import sort_suffixes
 
 LENGTH = 50
 GRAM = 16
-# Bytes of text in a part, and of anchors and fragments in a shard, on average.
+# Bytes of text behind a part, a shard of anchors and a shard of fragments, on average.
 PART_BYTES = 12 << 20
-SHARD_BYTES = 16 << 20
+ANCHOR_BYTES = 48 << 20
+SHARD_BYTES = 6 << 20
 # Anchors a task gathers before it sends them to the shards.
 GATHERED = 3 << 19
 SLICE_BYTES = 2 << 20
 
-DIGEST, CHECK = 32, 8
+DIGEST = 16
 HASH_BYTES = 6
 
 ANCHORS = "shard int, hashes binary, counts binary, starts binary, runs binary, parts binary, docs binary, digests binary"
-REQUESTS = "part int, hashes binary, starts binary, runs binary, docs binary, checks binary"
-PIECES = "shard int, part int, blob binary, sizes binary, docs binary, checks binary, starts binary, found boolean"
-SPANS = "part int, docs binary, checks binary, starts binary, sizes binary"
+REQUESTS = "part int, hashes binary, starts binary, runs binary, docs binary, digests binary, counts binary"
+PIECES = "shard int, part int, blob binary, sizes binary, docs binary, numbers binary, starts binary, found boolean"
+SPANS = "part int, numbers binary, starts binary, sizes binary, copy_id bigint, copy_digest binary"
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -56,6 +57,17 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """All lowest bytes first, then the next: high bytes, mostly zero, cost nothing once compressed."""
+    wide = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)
+    return np.ascontiguousarray(wide.T).tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 class _Runs(NamedTuple):
     """Runs of windows with one anchor: its hash, the row, the first window and how many."""
 
@@ -115,9 +127,9 @@ def _anchored(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram:
             per_doc = np.bincount(row[own], minlength=base)
             used = np.flatnonzero(per_doc)
             yield pa.RecordBatch.from_pylist([{
-                "shard": s, "hashes": _packed(hashes[own]), "counts": per_doc[used].astype("<u4").tobytes(),
-                "starts": starts[own].astype("<u4").tobytes(), "runs": counts[own].astype("<u1").tobytes(),
-                "parts": np.array(parts, "<i4")[used].tobytes(), "docs": np.array(docs, "<i8")[used].tobytes(),
+                "shard": s, "hashes": _packed(hashes[own]), "counts": _planes(per_doc[used], "<u4"),
+                "starts": _planes(starts[own], "<u4"), "runs": counts[own].astype("<u1").tobytes(),
+                "parts": _planes(np.array(parts)[used], "<i4"), "docs": _planes(np.array(docs)[used], "<i8"),
                 "digests": b"".join(digests[u] for u in used.tolist()),
             }], schema=_arrow(ANCHORS))
 
@@ -153,13 +165,13 @@ def _repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) ->
     owners = 0
     for batch in batches:
         for r in batch.to_pylist():
-            counts = np.frombuffer(r["counts"], "<u4")
+            counts = _from_planes(r["counts"], "<u4")
             columns["hashes"].append(_unpacked(r["hashes"]))
             columns["owner"].append(np.repeat(np.arange(owners, owners + len(counts), dtype=np.int32), counts))
             owners += len(counts)
-            for name, kind in (("starts", "<u4"), ("runs", "<u1"), ("parts", "<i4"), ("docs", "<i8"), ("digests", "")):
-                data = np.frombuffer(r[name], np.dtype(("V", DIGEST)) if name == "digests" else kind)
-                columns[name].append(data)
+            for name, kind in (("starts", "<u4"), ("runs", "<u1"), ("parts", "<i4"), ("docs", "<i8"), ("digests", f"V{DIGEST}")):
+                flat = name in ("runs", "digests")
+                columns[name].append(np.frombuffer(r[name], kind) if flat else _from_planes(r[name], kind))
     joined = {n: np.concatenate(v) for n, v in columns.items()}
     _, text = np.unique(joined["digests"], return_inverse=True)
     by = np.lexsort((joined["docs"], text))
@@ -179,110 +191,122 @@ def _repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) ->
     order = np.lexsort((joined["starts"][kept], owner, joined["parts"][owner]))
     kept, owner, hashes = kept[order], owner[order], hashes[order]
     part = joined["parts"][owner]
-    checks = np.frombuffer(joined["digests"].tobytes(), np.uint8).reshape(-1, DIGEST)[:, :CHECK]
     for p in np.unique(part).tolist():
         a, b = np.searchsorted(part, p, "left"), np.searchsorted(part, p, "right")
+        first = np.flatnonzero(np.append(True, owner[a + 1 : b] != owner[a : b - 1]))
+        owners = owner[a:b][first]
         yield pa.RecordBatch.from_pylist([{
-            "part": p, "hashes": _packed(hashes[a:b]), "starts": joined["starts"][kept[a:b]].tobytes(),
-            "runs": joined["runs"][kept[a:b]].tobytes(), "docs": joined["docs"][owner[a:b]].tobytes(),
-            "checks": checks[owner[a:b]].tobytes(),
+            "part": p, "hashes": _packed(hashes[a:b]), "starts": _planes(joined["starts"][kept[a:b]], "<u4"),
+            "runs": joined["runs"][kept[a:b]].tobytes(), "docs": _planes(joined["docs"][owners], "<i8"),
+            "digests": joined["digests"][owners].tobytes(), "counts": _planes(np.diff(np.append(first, b - a)), "<u4"),
         }], schema=_arrow(REQUESTS))
 
 
+def _numbered(texts: pa.Table) -> dict[tuple[int, bytes], int]:
+    """Numbers of a part's texts, the same wherever the part is read."""
+    keys = zip(texts.column("doc_id").to_pylist(), texts.column("digest").to_pylist(), strict=True)
+    return {key: n for n, key in enumerate(sorted({k for k in keys if k[0] is not None}))}
+
+
 def _fragments(texts: pa.Table, requests: pa.Table, shards: int, length: int) -> pa.Table:
     """The requested windows of one part's texts, equal ones merged; what the merging itself settles is marked found."""
-    bodies = {}
+    numbers, bodies = _numbered(texts), {}
     for doc, digest, body in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "digest", "body")), strict=True):
-        bodies[doc, digest[:CHECK]] = body
+        bodies[doc, digest] = body
     part = requests.column("part")[0].as_py() if requests.num_rows else 0
-    merged: dict[bytes, list] = {}
-    found: list[tuple[int, bytes, int, int]] = []
+    # Fragment: its shard, its smallest document, and where that has it: text number and start.
+    merged: dict[bytes, tuple[int, int, list[int]]] = {}
+    found: list[tuple[int, int, int]] = []
     for r in requests.to_pylist():
-        docs, starts = np.frombuffer(r["docs"], "<i8").tolist(), np.frombuffer(r["starts"], "<u4").tolist()
-        runs, hashes = np.frombuffer(r["runs"], "<u1").tolist(), _unpacked(r["hashes"]) % np.uint64(shards)
-        checks = r["checks"]
-        for i, (doc, start, run, shard) in enumerate(zip(docs, starts, runs, hashes.tolist(), strict=True)):
-            check = checks[i * CHECK : (i + 1) * CHECK]
-            fragment = bodies[doc, check][start : start + run - 1 + length]
-            known = merged.get(fragment)
-            if known is None:
-                merged[fragment] = [shard, doc, [(check, start)]]
-            elif doc > known[1]:
-                found.append((doc, check, start, len(fragment)))
-            elif doc == known[1]:
-                known[2].append((check, start))
-            else:
-                found += [(known[1], c, s, len(fragment)) for c, s in known[2]]
-                merged[fragment] = [shard, doc, [(check, start)]]
+        starts, runs = _from_planes(r["starts"], "<u4").tolist(), np.frombuffer(r["runs"], "<u1").tolist()
+        shard = (_unpacked(r["hashes"]) % np.uint64(shards)).tolist()
+        docs, counts = _from_planes(r["docs"], "<i8").tolist(), _from_planes(r["counts"], "<u4").tolist()
+        at = 0
+        for i, (doc, count) in enumerate(zip(docs, counts, strict=True)):
+            key = doc, r["digests"][i * DIGEST : (i + 1) * DIGEST]
+            body, number = bodies[key], numbers[key]
+            for k in range(at, at + count):
+                start = starts[k]
+                fragment = body[start : start + runs[k] - 1 + length]
+                known = merged.get(fragment)
+                if known is None or doc < known[1]:
+                    if known is not None:
+                        found += [(n, s, len(fragment)) for n, s in zip(known[2][::2], known[2][1::2], strict=True)]
+                    merged[fragment] = (shard[k], doc, [number, start])
+                elif doc > known[1]:
+                    found.append((number, start, len(fragment)))
+                else:
+                    known[2].extend((number, start))
+            at += count
     by_shard: dict[int, list] = {}
     for fragment, (shard, doc, places) in merged.items():
-        by_shard.setdefault(shard, []).append((fragment, doc, places))
-    rows = [_piece(shard, part, [(f, doc, c, s) for f, doc, places in own for c, s in places], False) for shard, own in by_shard.items()]
+        own = by_shard.setdefault(shard, [])
+        for n, s in zip(places[::2], places[1::2], strict=True):
+            own.append((n, s, len(fragment), doc, fragment))
+    merged.clear()
+    rows = [_piece(shard, part, own, False) for shard, own in by_shard.items()]
     if found:
-        rows.append(_piece(part % shards, part, [(size, doc, c, s) for doc, c, s, size in found], True))
+        rows.append(_piece(part % shards, part, found, True))
     return pa.Table.from_pylist(rows, schema=_arrow(PIECES))
 
 
 def _piece(shard: int, part: int, entries: list, found: bool) -> dict:
-    sizes = [e[0] if found else len(e[0]) for e in entries]
+    column = lambda i: np.array([e[i] for e in entries])
     return {
-        "shard": shard, "part": part, "blob": b"" if found else b"".join(e[0] for e in entries),
-        "sizes": np.array(sizes, "<u4").tobytes(), "docs": np.array([e[1] for e in entries], "<i8").tobytes(),
-        "checks": b"".join(e[2] for e in entries), "starts": np.array([e[3] for e in entries], "<u4").tobytes(), "found": found,
+        "shard": shard, "part": part, "blob": b"" if found else b"".join(e[4] for e in entries), "sizes": _planes(column(2), "<u4"),
+        "docs": b"" if found else _planes(column(3), "<i8"), "numbers": _planes(column(0), "<u4"), "starts": _planes(column(1), "<u4"),
+        "found": found,
     }
 
 
-def _spans(part: np.ndarray, docs: np.ndarray, checks: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((starts, docs, part))
-    part, docs, checks, starts, sizes = (x[order] for x in (part, docs, checks, starts, sizes))
+def _spans(part: np.ndarray, numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((starts, numbers, part))
+    part, numbers, starts, sizes = (x[order] for x in (part, numbers, starts, sizes))
     for p in np.unique(part).tolist():
         a, b = np.searchsorted(part, p, "left"), np.searchsorted(part, p, "right")
         yield pa.RecordBatch.from_pylist([{
-            "part": p, "docs": docs[a:b].astype("<i8").tobytes(), "checks": checks[a:b].tobytes(),
-            "starts": starts[a:b].astype("<u4").tobytes(), "sizes": sizes[a:b].astype("<u4").tobytes(),
+            "part": p, "numbers": _planes(numbers[a:b], "<u4"), "starts": _planes(starts[a:b], "<u4"), "sizes": _planes(sizes[a:b], "<u4"),
         }], schema=_arrow(SPANS))
 
 
 def _settled(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans to remove, from the suffix array of one shard's distinct fragments."""
-    numbers: dict[bytes, int] = {}
+    known: dict[bytes, int] = {}
     texts: list[bytes] = []
-    number, part, docs, checks, starts, sizes = ([] for _ in range(6))
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for r in batch.to_pylist():
-            doc, check = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["checks"], np.dtype(("V", CHECK)))
-            start, size = np.frombuffer(r["starts"], "<u4"), np.frombuffer(r["sizes"], "<u4")
-            parts = np.full(len(doc), r["part"], np.int32)
+            number, start, size = (_from_planes(r[n], "<u4") for n in ("numbers", "starts", "sizes"))
+            part = np.full(len(number), r["part"], np.int32)
             if r["found"]:
-                yield from _spans(parts, doc, check, start, size)
+                yield from _spans(part, number, start, size)
                 continue
             blob, at, own = r["blob"], 0, []
             for n in size.tolist():
                 fragment = blob[at : at + n]
                 at += n
-                known = numbers.get(fragment)
-                if known is None:
-                    known = numbers[fragment] = len(texts)
+                which = known.get(fragment)
+                if which is None:
+                    which = known[fragment] = len(texts)
                     texts.append(fragment)
-                own.append(known)
-            for held, new in zip((number, part, docs, checks, starts, sizes), (np.array(own, np.int32), parts, doc, check, start, size), strict=True):
-                held.append(new)
+                own.append(which)
+            held.append((np.array(own, np.int32), part, _from_planes(r["docs"], "<i8"), number, start, size))
+    known.clear()
     if not texts:
         return
-    number, part, docs, checks, starts, sizes = map(np.concatenate, (number, part, docs, checks, starts, sizes))
+    fragment_of, part, docs, numbers, starts, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
     least = np.full(len(texts), np.iinfo(np.int64).max)
-    np.minimum.at(least, number, docs)
-    lost = _lost_windows(texts, least, length)
+    np.minimum.at(least, fragment_of, docs)
     # Copies of a fragment in later documents lose it whole; in its first document, the lost windows.
-    whole = docs > least[number]
-    yield from _spans(part[whole], docs[whole], checks[whole], starts[whole], sizes[whole])
-    fragment, first, run = lost
-    begin, stop = np.searchsorted(fragment, number, "left"), np.searchsorted(fragment, number, "right")
+    whole = docs > least[fragment_of]
+    yield from _spans(part[whole], numbers[whole], starts[whole], sizes[whole])
+    fragment, first, run = _lost_windows(texts, least, length)
+    begin, stop = np.searchsorted(fragment, fragment_of, "left"), np.searchsorted(fragment, fragment_of, "right")
     own = np.flatnonzero(~whole & (stop > begin))
     times = (stop - begin)[own]
     entry = np.repeat(own, times)
     which = np.repeat(begin[own] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-    yield from _spans(part[entry], docs[entry], checks[entry], starts[entry] + first[which], run[which] + length - 1)
+    yield from _spans(part[entry], numbers[entry], starts[entry] + first[which], run[which] + length - 1)
 
 
 def _lost_windows(texts: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,21 +339,29 @@ def _lost_windows(texts: list[bytes], least: np.ndarray, length: int) -> tuple[n
 
 def _trimmed(texts: pa.Table, spans: pa.Table, carried: list[str]) -> pa.Table:
     """Each text of a part without the bytes of its spans, and the maximal removed runs."""
-    removed: dict[tuple[int, bytes], list] = {}
+    numbers = _numbered(texts)
+    removed: dict[int, list] = {}
+    copies: set[tuple[int, bytes]] = set()
     for r in spans.to_pylist():
-        docs, starts, sizes = (np.frombuffer(r[n], k) for n, k in (("docs", "<i8"), ("starts", "<u4"), ("sizes", "<u4")))
-        checks = np.frombuffer(r["checks"], np.uint8).reshape(-1, CHECK)
-        new = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (checks[1:] != checks[:-1]).any(axis=1))) if len(docs) else []
-        for a, b in zip(new, np.append(new[1:], len(docs)), strict=True):
-            removed.setdefault((int(docs[a]), checks[a].tobytes()), []).append((starts[a:b], sizes[a:b]))
+        if r["copy_id"] is not None:
+            copies.add((r["copy_id"], r["copy_digest"]))
+            continue
+        number, start, size = (_from_planes(r[n], "<u4").astype(np.int64) for n in ("numbers", "starts", "sizes"))
+        new = np.flatnonzero(np.append(True, number[1:] != number[:-1])).tolist()
+        for a, b in zip(new, [*new[1:], len(number)], strict=True):
+            removed.setdefault(int(number[a]), []).append((start[a:b], size[a:b]))
     kept, runs = [], []
     for doc, digest, body in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "digest", "body")), strict=True):
-        found = removed.get((doc, digest[:CHECK]))
+        if (doc, digest) in copies:
+            kept.append(b"")
+            runs.append([0, len(body)])
+            continue
+        found = removed.get(numbers.get((doc, digest), -1))
         if found is None:
             kept.append(body)
             runs.append([])
             continue
-        start = np.concatenate([s for s, _ in found]).astype(np.int64)
+        start = np.concatenate([s for s, _ in found])
         stop = start + np.concatenate([n for _, n in found])
         order = np.argsort(start, kind="stable")
         start, stop = start[order], np.maximum.accumulate(stop[order])
@@ -344,7 +376,7 @@ def _trimmed(texts: pa.Table, spans: pa.Table, carried: list[str]) -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (),
-                   part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                   part_bytes: int = PART_BYTES, anchor_bytes: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, *carry, n_bytes, kept, spans`` of every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes; each byte goes that is covered by a string of ``length`` bytes which also
@@ -355,25 +387,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     """
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select("doc_id", *carry, body.alias("body"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
+    rows = rows.withColumn("digest", F.substring(F.unhex(F.sha2("body", 256)), 1, DIGEST))
     total = rows.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
-    parts, shards = (max(1, -(-total // size)) for size in (part_bytes, shard_bytes))
+    parts, anchor_shards, shards = (max(1, -(-total // size)) for size in (part_bytes, anchor_bytes, shard_bytes))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)).cast("int"))
 
     found = rows.select("part", "doc_id", "digest", "body").mapInArrow(
-        lambda batches: _anchored(batches, shards, length, gram), ANCHORS
+        lambda batches: _anchored(batches, anchor_shards, length, gram), ANCHORS
     )
     requests = stored(found.groupBy("shard").applyInArrow(_repeated, REQUESTS), "repeated-anchors")
 
     def settle(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _settled(key, batches, length)
 
-    known = rows.where("doc_id IS NOT NULL").select("part", "doc_id", "digest", "body")
-    pieces = known.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(
+    # Both groupings of the texts are one exchange of the plan.
+    pieces = rows.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(
         lambda texts, wanted: _fragments(texts, wanted, shards, length), PIECES
     )
     spans = pieces.groupBy("shard").applyInArrow(settle, SPANS).union(_copies(rows, length))
-    spans = stored(spans, "repeated-spans")
     schema = rows.select("doc_id", *carry).schema.add("n_bytes", "long").add("kept", "binary").add("spans", T.ArrayType(T.LongType()))
     carried = ["doc_id", *carry]
     return rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(
@@ -382,23 +413,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
 
 
 def _copies(rows: DataFrame, length: int) -> DataFrame:
-    """Spans of whole texts that a smaller document has as well."""
-    long = rows.where((F.octet_length("body") >= length) & F.col("doc_id").isNotNull()).select(
-        "part", "doc_id", "digest", F.octet_length("body").alias("size")
-    )
-    first = stored(long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "first-copies")
-    return long.join(first, "digest").where("doc_id > first").select(
-        "part", _little_endian(F.col("doc_id"), 8).alias("docs"), F.substring("digest", 1, CHECK).alias("checks"),
-        _little_endian(F.lit(0), 4).alias("starts"), _little_endian(F.col("size"), 4).alias("sizes"),
+    """Texts that a smaller document has as well, which lose all."""
+    long = rows.where((F.octet_length("body") >= length) & F.col("doc_id").isNotNull()).select("part", "doc_id", "digest")
+    first = long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    nothing = [F.lit(None).cast("binary").alias(n) for n in ("numbers", "starts", "sizes")]
+    return long.join(stored(first, "first-copies"), "digest").where("doc_id > first").select(
+        "part", *nothing, F.col("doc_id").alias("copy_id"), F.col("digest").alias("copy_digest")
     )
 
 
-def _little_endian(number, size: int):
-    """An integer's bytes, lowest first."""
-    digits = F.lpad(F.substring(F.lpad(F.hex(number.cast("long")), 16, "0"), 17 - 2 * size, 2 * size), 2 * size, "0")
-    return F.unhex(F.concat(*(F.substring(digits, 2 * size - 1 - 2 * i, 2) for i in range(size))))
-
-
 def report(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs``."""
     return remove_repeats(docs, **options).select(
@@ -410,7 +433,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], names=["rest", "text"])
 
 
 def trim_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -419,13 +442,14 @@ def trim_repeats(docs: DataFrame, **options) -> DataFrame:
     A character that lost some of its bytes goes whole, and so does a document that lost all its text.
     Texts without repeats stay as they are, also null and empty ones.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    found = remove_repeats(docs.select("doc_id", "text", row), carry=("row",), **options)
-    found = found.where((F.octet_length("kept") > 0) | (F.size("spans") == 0))
-    schema = T.StructType([found.schema["row"], T.StructField("text", T.StringType())])
-    cut = found.where(F.size("spans") > 0).select("row", "kept").mapInArrow(_decoded, schema)
-    whole = found.where(F.size("spans") == 0).select("row", F.col("row.text").alias("text"))
-    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return whole.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)).union(
-        cut.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rest = F.struct(F.col("text").isNull().alias("no text"), F.struct(*others).alias("row")).alias("rest")
+    found = remove_repeats(docs.select("doc_id", "text", rest), carry=("rest",), **options)
+    whole = found.where(F.size("spans") == 0).select(
+        "rest", F.when(~F.col("rest.no text"), F.col("kept").cast("string")).alias("text")
     )
+    cut = found.where((F.size("spans") > 0) & (F.octet_length("kept") > 0)).select("rest", "kept").mapInArrow(
+        _decoded, T.StructType([found.schema["rest"], T.StructField("text", T.StringType())])
+    ).withColumn("rest", F.col("rest").withField("row.n_chars", F.length("text").cast("long")))
+    columns = {c: F.col("text") if c == "text" else F.col(f"rest.row.`{c}`") for c in docs.columns}
+    return whole.union(cut).select(*(column.alias(c) for c, column in columns.items()))

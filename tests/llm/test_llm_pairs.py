@@ -91,6 +91,22 @@ def test_one_document_of_each_group_stays_with_all_columns(frame):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d e", "s", 2), (3, None, None, None), (None, "a b c d e", "t", 3)], key=str)
 
 
+def test_rows_that_can_have_a_key_and_those_that_cannot(spark, frame):
+    from tallyweir.llm.common import least_by_hash, split_by_keys
+
+    rows = spark.range(20_000).selectExpr("IF(id % 50 = 0, NULL, id * 7919) AS k", "'b' AS bitmap", "id AS bucket")
+    keys = rows.where("bucket % 37 = 0 AND k IS NOT NULL").select("k")
+    some, rest = split_by_keys(rows, "k", keys)
+    assert some.columns == rest.columns == rows.columns
+    assert some.count() + rest.count() == 20_000 and some.count() < 1_200
+    assert rest.join(keys, "k").isEmpty() and some.join(keys, "k").count() == keys.count()
+    assert split_by_keys(rows, "k", keys.limit(0))[1].count() == 20_000
+    few = least_by_hash(rows.where("k IS NOT NULL"), 100, "k")
+    assert few.count() == 100 and {r.k for r in few.collect()} == {
+        r.k for r in rows.where("k IS NOT NULL").orderBy("k").selectExpr("k", f"pmod(xxhash64(k), {1 << 40}) AS h").orderBy("h", "k").limit(100).collect()}
+    assert least_by_hash(rows.limit(5), 100, "bucket").count() == 5
+
+
 def test_components_of_chains_stars_and_loops(frame):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, 500 + i) for i in range(60)] + [(7, 7), (None, 3)]
@@ -147,7 +163,7 @@ def trimmed(docs, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"part_bytes": 700, "shard_bytes": 500}])
+@pytest.mark.parametrize("sizes", [{}, {"part_bytes": 700, "anchor_bytes": 900, "shard_bytes": 500}])
 def test_repeats_equal_brute_force(frame, sizes):
     rng = random.Random(9)
     pieces = ["".join(rng.choice("abé \n") for _ in range(rng.randint(5, 40))) for _ in range(12)] + ["a" * 60, "ab" * 40]
