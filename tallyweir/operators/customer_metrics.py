@@ -68,31 +68,34 @@ def device_home_countries(devices: DataFrame) -> DataFrame:
     return device_places(devices).groupBy("DeviceID").agg(F.collect_set("Country").alias("HomeCountries"))
 
 
-def device_trust(devices: DataFrame) -> DataFrame:
-    """One row per device: was it ever marked untrusted (F10), does it have a travel history."""
-    history = F.size(F.from_json(F.col("geoHistory"), TRAVEL_HISTORY)) > 0
+def device_facts(devices: DataFrame) -> DataFrame:
+    """One row per device: ever marked untrusted (F10), any travel history, the countries in it.
+
+    The countries there are bound the set, however often a device is recorded.
+    """
+    entries = F.from_json(F.col("geoHistory"), TRAVEL_HISTORY)
+    countries = F.array_distinct(F.flatten(F.collect_set(F.array_distinct(entries["country"]))))
     return devices.groupBy(F.col("deviceId").alias("DeviceID")).agg(
         F.coalesce(F.bool_or(~F.col("trusted")), F.lit(False)).alias("IsUntrusted"),
-        F.coalesce(F.bool_or(history), F.lit(False)).alias("HasHistory"),
+        F.coalesce(F.bool_or(F.size(entries) > 0), F.lit(False)).alias("HasHistory"),
+        countries.alias("HomeCountries"),
     )
 
 
 def flag_usage(usage: DataFrame, devices: DataFrame) -> DataFrame:
     """Usage rows with ``IsUntrusted`` and ``IsAnomaly``.
 
-    An anomaly is a known country outside the history of a device that has one. Both lookups are
-    left joins to one row per key that AQE can split: a device may be used by very many customers.
+    An anomaly is a known country outside the history of a device that has one. One left join to one
+    row per device that AQE can split: a device may be used by very many customers. Usage without a
+    device looks up a key of its own that matches nothing, so that it does not meet in one task.
     """
-    trust = device_trust(devices)
-    home = (
-        device_places(devices)
-        .where(F.col("Country").isNotNull())
-        .select("DeviceID", F.col("Country").alias("GeoCountry"), F.lit(True).alias("_home"))
-    )
-    with_trust = spread_lookup(usage, trust, ["DeviceID"], ["CustomerID"])
-    with_home = spread_lookup(with_trust, home, ["DeviceID", "GeoCountry"], ["CustomerID"])
-    anomaly = F.col("HasHistory") & F.col("GeoCountry").isNotNull() & F.col("_home").isNull()
-    return with_home.select(
+    nobody = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("CustomerID"), F.lit(4096)).cast("string"))
+    keyed = usage.withColumn("_device", F.coalesce("DeviceID", nobody))
+    facts = device_facts(devices.where(F.col("deviceId").isNotNull())).withColumnRenamed("DeviceID", "_device")
+    found = spread_lookup(keyed, facts, ["_device"], ["CustomerID"])
+    at_home = F.coalesce(F.array_contains("HomeCountries", F.col("GeoCountry")), F.lit(False))
+    anomaly = F.col("HasHistory") & F.col("GeoCountry").isNotNull() & ~at_home
+    return found.select(
         *_USAGE,
         "FailedLogins",
         F.coalesce(F.col("IsUntrusted"), F.lit(False)).alias("IsUntrusted"),

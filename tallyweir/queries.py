@@ -17,7 +17,7 @@ from tallyweir.frames import Frames, portable, rounded_profile, without_keys
 from tallyweir.functions import rules
 from tallyweir.functions.casting import cast_if_present, is_identifier, quoted
 from tallyweir.functions.keys import surrogate_key
-from tallyweir.operators import checks, counts, customer_metrics, governance, merge, windows
+from tallyweir.operators import checks, counts, customer_metrics, governance, merge, skew, windows
 from tallyweir.operators.quality import VALID, with_verdict
 from tallyweir.oracle import _exact, stated
 from tallyweir.plans import audit, consumption, gold, incremental, loading, refresh, serving, silver
@@ -753,7 +753,8 @@ FROM w_s s JOIN home h ON h.DeviceID = s.DeviceID WHERE s.GeoCountry IS NOT NULL
 def _(f):
     history = customer_metrics.device_home_countries(f.devices.valid)
     used = customer_metrics.device_usage(f.recent_sessions()).where(F.col("GeoCountry").isNotNull())
-    return used.join(history, "DeviceID").select(
+    known = skew.spread_lookup(used, history, ["DeviceID"], ["CustomerID"]).where(F.col("HomeCountries").isNotNull())
+    return known.select(
         "CustomerID", "DeviceID", "GeoCountry",
         F.array_contains("HomeCountries", F.col("GeoCountry")).alias("known"),
     )

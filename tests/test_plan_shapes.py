@@ -39,7 +39,7 @@ def test_profile_shuffles_once_on_the_customer(spark, unbroadcast):
     assert len(by_customer) == 1
     # The one fact join; everything else is aggregated before it moves.
     assert sum("TransactionID" in k for k in keys) == 2
-    assert "CustomerID" in plan and plan.count("SortMergeJoin") == 3
+    assert "CustomerID" in plan and plan.count("SortMergeJoin") == 2
 
 
 def test_clock_subquery_reads_no_join(spark):
