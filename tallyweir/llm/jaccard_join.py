@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.llm.common import slices, stored
@@ -29,11 +29,11 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 SKETCH_BITS = 20
 SKETCH_ROWS = 64
-DEEPEST = 6
+DEEPEST = 12
 # What a posting, a pair of a list and a verification cost, relative to one another.
 POSTING_COST, PAIR_COST, VERIFY_COST = 1.0, 0.5, 20.0
 RARE = 8
-LONG_LIST = 16
+LONG_LIST = 32
 BLOCK_BYTES = 24 << 20
 NEEDED_BITS = 25
 
@@ -231,6 +231,18 @@ def _tile(left: list, right: list, percent: int) -> list[tuple[int, int, bool]]:
     return [(left[i][0], right[j][0], False) for i, j in zip(a.tolist(), b.tolist(), strict=True) if left[i][0] != right[j][0]]
 
 
+def _needed(a: Column, b: Column, percent: int) -> Column:
+    """Prefix shingles that two similar documents share at least.
+
+    As many as the smaller ``asked``; and of the document whose prefix ends first in the order, only
+    what is past its prefix can be shared besides, so the prefixes share all else that they must.
+    """
+    required = lambda n: F.ceil(F.lit(percent) * n / 100)
+    overlap = F.ceil(F.lit(percent) * (a["n"] + b["n"]) / (100 + percent))
+    beyond = F.greatest(required(a["n"]) - a["asked"], required(b["n"]) - b["asked"])
+    return F.greatest(F.least(a["asked"], b["asked"]), overlap - beyond)
+
+
 def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     """``hub, doc, role, n``: pairs that share enough prefix shingles, and the members of long lists with their hubs."""
     lists = postings.groupBy("token").agg(
@@ -244,12 +256,12 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     pairs = F.flatten(F.transform("docs", lambda a, i: F.transform(
         F.filter("docs", lambda b, j: (j > i) & alike(a["n"], b["n"]) & (a["doc"] != b["doc"])),
-        lambda b: F.struct(a["doc"].alias("hub"), b["doc"].alias("doc"), b["n"].alias("n"), F.least(a["asked"], b["asked"]).alias("asked"), a["n"].alias("hub_n")),
+        lambda b: F.struct(a["doc"].alias("hub"), b["doc"].alias("doc"), b["n"].alias("n"), _needed(a, b, percent).alias("needed"), a["n"].alias("hub_n")),
     )))
     verified = (
         short.select(F.explode(pairs).alias("p")).select("p.*")
-        .groupBy("hub", "doc", "n", "asked", "hub_n").agg(F.count("*").alias("shared"))
-        .where("shared >= asked").select("hub", "doc", F.lit(PARTNER).alias("role"), "n", "hub_n")
+        .groupBy("hub", "doc", "n", "needed", "hub_n").agg(F.count("*").alias("shared"))
+        .where("shared >= needed").select("hub", "doc", F.lit(PARTNER).alias("role"), "n", "hub_n")
     )
     long = listed.where(F.col("length") > LONG_LIST).select("hub", "doc", F.lit(MEMBER).alias("role"), "n", "hub_n").distinct()
     return verified.union(long)
@@ -259,15 +271,24 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition("hub", "block").sortWithinPartitions("hub", "block")
 
 
-def similar_pairs(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Verified links ``a, b`` that join everything similar: of documents with one hub only those the hub does not join."""
+def _of_classes(candidates: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates between classes of equal sets, which need no verification among themselves."""
+    of = classes.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "class_id").distinct()
+    named = candidates.join(of.toDF("hub", "hub_class"), "hub").join(of.toDF("doc", "doc_class"), "doc")
+    return named.where("hub_class <> doc_class").select(
+        F.col("hub_class").alias("hub"), F.col("doc_class").alias("doc"), "role", "n"
+    ).distinct()
+
+
+def similar_pairs(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
+    """Verified links ``a, b`` of classes that join everything similar: of those with one hub only what the hub does not join."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketch)
     texts = docs.select("doc_id", "text")
     postings = stored(texts.mapInArrow(
         lambda batches: _postings(batches, sent.value, size, percent), "token bigint, doc bigint, n int, asked int, rare int"
     ), "postings")
-    candidates = stored(_candidates(postings, percent), "candidates")
+    candidates = stored(_of_classes(_candidates(postings, percent), classes), "candidates")
     members = candidates.where(F.col("role") == MEMBER)
     width = stored(members.groupBy("hub").agg(
         F.ceil(F.sum(F.col("n").cast("long") * 8) / BLOCK_BYTES).cast("int").alias("blocks")
@@ -279,7 +300,7 @@ def similar_pairs(docs: DataFrame, sketch: np.ndarray, size: int, percent: int)
     )
     placed = stored(placed.select("hub", "block", "doc", "role", "blocks").union(hubs), "hub-members")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << NEEDED_BITS))
-    sets = stored(_needed_sets(texts, placed, bit, size), "needed-sets")
+    sets = _needed_sets(texts, placed, bit, size)
     filled = placed.join(sets, "doc")
     schema = "a bigint, b bigint, open boolean"
     links = stored(_grouped(filled).mapInArrow(lambda batches: _links(batches, percent), schema), "links")
@@ -309,8 +330,7 @@ def _needed_sets(texts: DataFrame, placed: DataFrame, bit, size: int) -> DataFra
         needed[(r.bucket - 1) * len(r.bits) : r.bucket * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     sent = texts.sparkSession.sparkContext.broadcast(needed)
     rows = texts.where("doc_id IS NOT NULL").select("doc_id", "text", bit("doc_id").alias("bit"))
-    found = rows.mapInArrow(lambda batches: _sets(batches, sent.value, size), "doc bigint, shingles binary")
-    return found.join(placed.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "shingles"])
+    return rows.mapInArrow(lambda batches: _sets(batches, sent.value, size), "doc bigint, shingles binary")
 
 
 def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -339,13 +359,12 @@ def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) ->
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
     )
     classes = stored(classes, "documents-of-classes")
-    links = similar_pairs(texts, sketch, size, percent)
+    links = similar_pairs(texts, classes, sketch, size, percent)
     of = classes.where("doc_id IS NOT NULL").select("doc_id", "class_id").distinct()
-    ends = links.join(of.toDF("a", "class_a"), "a").join(of.toDF("b", "class_b"), "b")
     # A repeated doc_id with several texts ties their classes together.
     repeated = of.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     several = of.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("a"))
-    edges = ends.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).union(repeated.join(several, "a", "left_semi"))
+    edges = links.select("a", "b").union(repeated.join(several, "a", "left_semi"))
     found = components(edges)
     return (
         classes.join(found, classes.class_id == found.node, "left")
