@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import stored
+from tallyweir.llm.common import least_by_hash, stored
 
 NEIGHBOURS = 10
 # The estimate's error stays within this many of its deviations; 4 misses about 1 in 15,000 vectors.
@@ -84,7 +84,7 @@ def build_index(vectors: DataFrame) -> Index:
     """Codes of every usable row of ``vectors`` (vec_id, embedding), stored in the shared folder."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTRE_SAMPLE)
+    sample = least_by_hash(rows, CENTRE_SAMPLE, "vec_id")
     means = (
         sample.select(F.size("embedding").alias("dims"), F.posexplode("embedding"))
         .groupBy("dims", "pos").agg(F.avg("col").alias("mean")).collect()

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweir.session import shared_folder
 
@@ -31,6 +32,46 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_by_hash(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """At most ``rows`` rows of ``df``: those of least hash of ``columns``, ties by the columns.
+
+    A bound on the hash, from the row count, lets about half as many again through to the sort, so
+    that what is brought together does not grow with the data.
+    """
+    total = df.count()
+    hashed = F.xxhash64(*columns)
+    if total > 3 * rows:
+        scale = 1 << 40
+        df = df.where(F.pmod(hashed, F.lit(scale)) < int(scale * (1.5 * rows + 100) / total))
+    return df.orderBy(F.pmod(hashed, F.lit(1 << 40)), *columns).limit(rows)
+
+
+# Bits of the bitmap that tells which keys can be in a set: 4 MB, however large the set.
+BITMAP_BITS = 25
+
+
+def _bit(key: str) -> Column:
+    # Positions count from 1 in the bitmap functions.
+    return F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS)) + 1
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that can have a key of ``keys`` (key), and those that have none for sure.
+
+    The keys go out as a bitmap of their hashes, 1,024 rows of 4 KB, so that a join which concerns few
+    rows need not shuffle all. With more keys the first part grows; it is never wrong.
+    """
+    bits = keys.select(_bit(key).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap")
+    )
+    bits = F.broadcast(stored(bits, "key-bitmap"))
+    marked = df.join(bits, F.bitmap_bucket_number(_bit(key)) == bits.bucket, "left")
+    place = F.bitmap_bit_position(_bit(key))
+    byte = F.conv(F.hex(F.substring(bits.bitmap, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
+    return tuple(marked.where(c).select(*(df[f"`{name}`"] for name in df.columns)) for c in (found, ~found))
+
+
 def lower_bytes() -> np.ndarray:
     """Byte to byte, A-Z in lower case."""
     lowered = np.arange(256, dtype=np.uint8)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import slices
+from tallyweir.llm.common import least_by_hash, slices
 
 UNDETERMINED = "und"
 # Labelled texts the model is counted on at most: those of smallest text hash.
@@ -136,10 +136,8 @@ def train(labelled: DataFrame, training_texts: int = TRAINING_TEXTS) -> Model:
     Rows without a text or language are left out. A language is one group of the bounded sample;
     without labelled rows there are no languages.
     """
-    sample = (
-        labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-        .orderBy(F.xxhash64("text"), "text", "lang").limit(training_texts)
-    )
+    known = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    sample = least_by_hash(known, training_texts, "text", "lang")
     counted = sorted(sample.groupBy("lang").applyInArrow(_count, MODEL).collect(), key=lambda r: r.lang)
     grams = np.array([np.frombuffer(r.grams) for r in counted]).reshape(-1, BUCKETS).T
     halves = grams.reshape(2, BUCKETS // 2, -1)

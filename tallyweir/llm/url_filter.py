@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import stored
+from tallyweir.llm.common import least_by_hash, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Labelled URLs the trees are grown on at most: those of smallest hash.
@@ -160,7 +160,7 @@ def train(labelled: DataFrame, url: str = "url", trees: int = TREES, depth: int
     average = 0.5 if average is None else float(average)
     suffixes = stored(_suffix_statistics(rows, average), "url-suffixes")
     other = _suffix_statistics(rows, average, "half").withColumn("half", 1 - F.col("half"))
-    sample = rows.orderBy(F.xxhash64("url", F.lit(1)), "url", "blocked").limit(TRAINING_ROWS)
+    sample = least_by_hash(rows, TRAINING_ROWS, "url", "blocked")
     features = lexical_features()
     sample = stored(
         _with_suffix_statistics(sample, other, average, "half")
