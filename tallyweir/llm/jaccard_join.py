@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm.common import slices, stored
+from tallyweir.llm.common import slices, split_by_keys, stored
 from tallyweir.llm.components import components
 from tallyweir.llm.shingles import shingle_sets
 
@@ -377,8 +377,12 @@ def keep_representatives(docs: DataFrame, size: int = SHINGLE_WORDS, percent: in
 
     Of rows that repeat a doc_id the least by all columns stays; rows without a doc_id all stay.
     """
-    found = join(docs, size, percent)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = stored(join(docs, size, percent), "components-of-documents").where("doc_id IS NOT NULL")
+    judged = found.groupBy("doc_id").agg(
+        F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")
+    )
+    concerned = stored(judged.where("rows > 1 OR NOT first").select("doc_id", "first"), "concerned-documents")
+    some, rest = split_by_keys(docs, "doc_id", concerned.select("doc_id"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
-    return one.select("row.*").union(docs.where("doc_id IS NULL"))
+    one = some.join(concerned.where("first").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
+    return rest.union(some.join(concerned.select("doc_id"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))).union(one.select("row.*"))
