@@ -31,8 +31,10 @@ WORDS = (
     rf"| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 ID_BYTES = 4
-# Words whose encoding a task keeps; beyond, it starts anew.
-KEPT_WORDS = 800_000
+# Words whose encoding a worker keeps; beyond, those of the latest slice stay.
+KEPT_WORDS = 350_000
+# Pairs of tokens whose border a worker remembers; beyond, it starts anew.
+KEPT_PAIRS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,6 +74,7 @@ class TrieEncoder:
         self.follows: dict[int, dict[int, bool]] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.own: dict[int, bool] = {}
+        self.pairs = 0
         self.packed: dict[str, bytes] = {}
 
     def _merged(self, text: bytes) -> list[int]:
@@ -119,6 +122,7 @@ class TrieEncoder:
         Merges of one rank go from left to right: the left token's own before one across the border,
         and that before the right token's own.
         """
+        self.pairs += 1
         if not (self._alone(left) and self._alone(right)):
             return False
         merges = self.vocabulary.merges
@@ -177,8 +181,11 @@ class TrieEncoder:
     def learn(self, words: set[str]) -> None:
         """Keep the packed ids of words not met before."""
         if len(self.packed) > KEPT_WORDS:
-            self.packed.clear()
+            self.packed = {w: self.packed[w] for w in words if w in self.packed}
+        if self.pairs > KEPT_PAIRS:
             self.follows.clear()
+            self.spines.clear()
+            self.pairs = 0
         new = {w.encode(): w for w in words if w not in self.packed}
         for word, ids in self.encode_words(new):
             self.packed[new[word]] = b"".join(i.to_bytes(ID_BYTES, "little") for i in ids)
