@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ MAX_SHUFFLE_PARTITIONS = 50_000
 # Mappers: larger splits once a scan would need more tasks than this, up to 1 GiB each.
 MAX_SCAN_TASKS = 100_000
 MAX_SPLIT_BYTES = 1 << 30
+SIZE_SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
 UNKNOWN_SIZE = (1 << 63) - 1
 
 
@@ -90,6 +93,18 @@ def size_tasks(spark: SparkSession, *scans: DataFrame) -> None:
            min(volume // MAX_SCAN_TASKS, MAX_SPLIT_BYTES))
 
 
+@contextmanager
+def sized_tasks(spark: SparkSession, *scans: DataFrame) -> Iterator[None]:
+    """``size_tasks`` for the work inside; the caller's session is as before afterwards."""
+    before = {key: spark.conf.get(key) for key in SIZE_SETTINGS}
+    size_tasks(spark, *scans)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def _raise(spark: SparkSession, setting: str, wanted: int) -> None:
     # A byte setting may come with a unit, "134217728b" or "128m"; the JVM parser knows them all.
     current = spark.conf.get(setting)

@@ -6,7 +6,7 @@ from tallyweir.operators import checks
 from tallyweir.sources import tables
 from tallyweir.sources.calendar import dim_date
 from tallyweir.sources.documents import document_schema, read_documents
-from tallyweir.session import scan_size, size_tasks
+from tallyweir.session import scan_size, size_tasks, sized_tasks
 
 GOOD = '{"id":"D1","customerId":"CUST-000001","geoHistory":[{"country":"US"}],"trusted":true,"unknown":1}'
 LINES = [
@@ -139,6 +139,10 @@ def test_sizes_follow_the_scans_and_only_grow(spark):
         size_tasks(spark, huge)
         assert spark.conf.get(settings[0]) == "50000"
         assert int(spark.conf.get(settings[1])) == scan_size(huge).known_bytes // 100_000
+        spark.conf.set(settings[0], "7")
+        with sized_tasks(spark, huge):
+            assert spark.conf.get(settings[0]) == "50000"
+        assert spark.conf.get(settings[0]) == "7"
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
