@@ -9,7 +9,6 @@ shifts, so that the search is array arithmetic.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
