@@ -224,7 +224,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     ids = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct()
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION_FOLDS))
     texts = docs.select("doc_id", "text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    flagged = texts.join(ids.withColumn("train", fold > 0), "doc_id", "left")
+    # One plan at any size: the flags are not broadcast while they happen to be few.
+    flagged = texts.join(ids.withColumn("train", fold > 0).hint("merge"), "doc_id", "left")
     counted = flagged.select("text", "lang", F.coalesce("train", F.lit(False)).alias("train")).mapInArrow(
         _counted, "lang string, gram bigint, count bigint"
     )
