@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.llm.common import slices, split_by_keys, stored
 from tallyweir.llm.components import components
-from tallyweir.llm.shingles import shingle_sets
+from tallyweir.llm.shingles import forget_powers, shingle_sets
 
 SHINGLE_WORDS = 4
 # Similarity of at least this many hundredths.
@@ -66,6 +66,7 @@ def _profiles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             pa.nulls(SKETCH_ROWS, pa.int64()), pa.nulls(SKETCH_ROWS, pa.int64()), pa.nulls(SKETCH_ROWS, pa.binary()),
             pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(parts, pa.binary()),
         ], names=names)
+    forget_powers()
 
 
 def _added(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +116,7 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, size: int,
                     [pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in token], doc, n, asked, rare)],
                     names=["token", "doc", "n", "asked", "rare"],
                 )
+    forget_powers()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], needed: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
@@ -125,6 +127,7 @@ def _sets(batches: Iterator[pa.RecordBatch], needed: np.ndarray, size: int) -> I
         for rows in slices(chosen, "text"):
             packed = [s.tobytes() for s in shingle_sets(rows.column("text"), size)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(packed, pa.binary())], names=["doc", "shingles"])
+    forget_powers()
 
 
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,12 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _known[0]
 
 
+def forget_powers() -> None:
+    """For the end of a task: workers idle between tasks, and their memory adds up."""
+    _known.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(32))) * MIX
     return (values ^ (values >> np.uint64(29))) * MIX ^ (values >> np.uint64(32))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweir.llm.common import flat_bytes, slices, stored
-from tallyweir.llm.shingles import mixed, powers
+from tallyweir.llm.shingles import forget_powers, mixed, powers
 from tallyweir.llm.suffix_sort import sort_suffixes
 
 LENGTH = 50
@@ -152,6 +152,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram:
                 held, size = [], 0
     if size:
         yield from sent()
+    forget_powers()
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -329,6 +330,7 @@ def _lost_windows(texts: list[bytes], least: np.ndarray, length: int) -> tuple[n
     fragment, offset = fragment[window], offset[window]
     group = np.flatnonzero(np.append(True, same[1:] < length))
     smallest = np.repeat(np.minimum.reduceat(least[fragment], group), np.diff(np.append(group, len(fragment))))
+    forget_powers()
     lost = smallest < least[fragment]
     fragment, offset = fragment[lost], offset[lost]
     by = np.lexsort((offset, fragment))
