@@ -31,8 +31,9 @@ WORDS = (
     rf"| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 ID_BYTES = 4
+SLICE_BYTES = 2 << 20
 # Words whose encoding a worker keeps; beyond, those of the latest slice stay.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 200_000
 # Pairs of tokens whose border a worker remembers; beyond, it starts anew.
 KEPT_PAIRS = 500_000
 
@@ -209,7 +210,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], definition: str) -> Iterator[pa.
     special = {s: i.to_bytes(ID_BYTES, "little") for s, i in vocabulary.special.items()}
     parts = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else lambda text: [text]
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", SLICE_BYTES):
             pieces = [[p if p in special else split(p) for p in parts(text or "")] for text in rows.column("text").to_pylist()]
             encoder.learn({w for text in pieces for p in text if not isinstance(p, str) for w in p})
             get = encoder.packed.__getitem__

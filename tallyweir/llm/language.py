@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import least_by_hash, slices
+from tallyweir.llm.common import least_by_hash, release_memory, slices
 
 UNDETERMINED = "und"
 # Labelled texts the model is counted on at most: those of smallest text hash.
@@ -231,10 +231,12 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) -
                                             (words.ends[last] - base).tolist(), names[labels[first]].tolist(), strict=True):
                     spans[text].append({"start": a, "end": b, "lang": name})
             carried = [n for n in rows.schema.names if n != "text"]
+            del words
             yield pa.RecordBatch.from_arrays(
                 [*map(rows.column, carried), pa.array(names[chosen].tolist(), pa.string()), pa.array(share), pa.array(spans, span)],
                 names=[*carried, "lang_pred", "score", "spans"],
             )
+    release_memory()
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tallyweir.llm.common import flat_bytes, lower_bytes
+from tallyweir.llm.common import flat_bytes, lower_bytes, release_memory
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -26,7 +26,7 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
 def forget_powers() -> None:
     """For the end of a task: workers idle between tasks, and their memory adds up."""
     _known.clear()
-    pa.default_memory_pool().release_unused()
+    release_memory()
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweir.llm.common import flat_bytes, slices, stored
+from tallyweir.llm.common import flat_bytes, release_memory, slices, stored
 from tallyweir.llm.shingles import forget_powers, mixed, powers
 from tallyweir.llm.suffix_sort import sort_suffixes
 
@@ -245,6 +245,7 @@ def _fragments(texts: pa.Table, requests: pa.Table, shards: int, length: int) ->
         for n, s in zip(places[::2], places[1::2], strict=True):
             own.append((n, s, len(fragment), doc, fragment))
     merged.clear()
+    release_memory()
     rows = [_piece(shard, part, own, False) for shard, own in by_shard.items()]
     if found:
         rows.append(_piece(part % shards, part, found, True))
@@ -339,7 +340,7 @@ def _lost_windows(texts: list[bytes], least: np.ndarray, length: int) -> tuple[n
     return fragment[first], offset[first], np.diff(np.append(first, len(fragment)))
 
 
-def _trimmed(texts: pa.Table, spans: pa.Table, carried: list[str]) -> pa.Table:
+def _trimmed(texts: pa.Table, spans: pa.Table, carried: list[str], as_text: bool) -> pa.Table:
     """Each text of a part without the bytes of its spans, and the maximal removed runs."""
     numbers = _numbered(texts)
     removed: dict[int, list] = {}
@@ -373,17 +374,24 @@ def _trimmed(texts: pa.Table, spans: pa.Table, carried: list[str]) -> pa.Table:
         kept.append(b"".join(body[x:y] for x, y in pieces))
         runs.append(np.column_stack((a, b)).ravel().tolist())
     columns = {c: texts.column(c) for c in carried}
+    release_memory()
     return pa.table({**columns, "n_bytes": pa.array([len(b) for b in texts.column("body").to_pylist()], pa.int64()),
-                     "kept": pa.array(kept, pa.large_binary()).cast(pa.binary()), "spans": pa.array(runs, pa.list_(pa.int64()))})
+                     "kept": _column(kept, as_text), "spans": pa.array(runs, pa.list_(pa.int64()))})
+
+
+def _column(kept: list[bytes], as_text: bool) -> pa.Array:
+    return pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (),
-                   part_bytes: int = PART_BYTES, anchor_bytes: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                   part_bytes: int = PART_BYTES, anchor_bytes: int = ANCHOR_BYTES, shard_bytes: int = SHARD_BYTES,
+                   as_text: bool = False) -> DataFrame:
     """``doc_id, *carry, n_bytes, kept, spans`` of every row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes; each byte goes that is covered by a string of ``length`` bytes which also
     starts in a text with a smaller doc_id. ``kept`` are the remaining bytes, ``spans`` the maximal
-    removed runs as start, end, start, end, ... A null text is empty; texts under ``length`` bytes
+    removed runs as start, end, start, end, ...; ``as_text`` decodes what is kept, without characters
+    that lost some of their bytes. A null text is empty; texts under ``length`` bytes
     lose nothing. Rows with one doc_id never remove each other's bytes, and a row with a null doc_id
     neither loses nor removes any. Other columns are ignored unless carried.
     """
@@ -407,10 +415,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
         lambda texts, wanted: _fragments(texts, wanted, shards, length), PIECES
     )
     spans = pieces.groupBy("shard").applyInArrow(settle, SPANS).union(_copies(rows, length))
-    schema = rows.select("doc_id", *carry).schema.add("n_bytes", "long").add("kept", "binary").add("spans", T.ArrayType(T.LongType()))
+    schema = rows.select("doc_id", *carry).schema.add("n_bytes", "long").add("kept", "string" if as_text else "binary").add("spans", T.ArrayType(T.LongType()))
     carried = ["doc_id", *carry]
     return rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(
-        lambda texts, own: _trimmed(texts, own, carried), schema
+        lambda texts, own: _trimmed(texts, own, carried, as_text), schema
     )
 
 
@@ -432,12 +440,6 @@ def report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], names=["rest", "text"])
-
-
 def trim_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with their repeated bytes removed from ``text`` and ``n_chars`` counted anew.
 
@@ -446,12 +448,11 @@ def trim_repeats(docs: DataFrame, **options) -> DataFrame:
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rest = F.struct(F.col("text").isNull().alias("no text"), F.struct(*others).alias("row")).alias("rest")
-    found = remove_repeats(docs.select("doc_id", "text", rest), carry=("rest",), **options)
-    whole = found.where(F.size("spans") == 0).select(
-        "rest", F.when(~F.col("rest.no text"), F.col("kept").cast("string")).alias("text")
-    )
-    cut = found.where((F.size("spans") > 0) & (F.octet_length("kept") > 0)).select("rest", "kept").mapInArrow(
-        _decoded, T.StructType([found.schema["rest"], T.StructField("text", T.StringType())])
-    ).withColumn("rest", F.col("rest").withField("row.n_chars", F.length("text").cast("long")))
-    columns = {c: F.col("text") if c == "text" else F.col(f"rest.row.`{c}`") for c in docs.columns}
-    return whole.union(cut).select(*(column.alias(c) for c, column in columns.items()))
+    found = remove_repeats(docs.select("doc_id", "text", rest), carry=("rest",), as_text=True, **options)
+    cut = F.size("spans") > 0
+    left = found.where((F.length("kept") > 0) | ~cut)
+    changed = {
+        "text": F.when(~F.col("rest.no text"), F.col("kept")),
+        "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("rest.row.n_chars")),
+    }
+    return left.select(*(changed[c].alias(c) if c in changed else F.col(f"rest.row.`{c}`").alias(c) for c in docs.columns))
