@@ -17,7 +17,7 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of similar ones stays."""
+    """One document of each group of similar ones stays: of five-word shingles, four fifths shared."""
     return jaccard_join.keep_representatives(docs)
 
 

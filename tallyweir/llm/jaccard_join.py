@@ -27,6 +27,9 @@ from tallyweir.llm.shingles import forget_powers, shingle_sets
 SHINGLE_WORDS = 4
 # Similarity of at least this many hundredths.
 PERCENT = 85
+# The same for near duplicates, of which one stays.
+NEAR_SHINGLE_WORDS = 5
+NEAR_PERCENT = 80
 SKETCH_BITS = 20
 SKETCH_ROWS = 64
 DEEPEST = 12
@@ -375,7 +378,7 @@ def join(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) ->
     )
 
 
-def keep_representatives(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def keep_representatives(docs: DataFrame, size: int = NEAR_SHINGLE_WORDS, percent: int = NEAR_PERCENT) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, with all their columns.
 
     Of rows that repeat a doc_id the least by all columns stays; rows without a doc_id all stay.

@@ -39,7 +39,7 @@ def op3_html_text(spark, sf_dir):
 
 
 def op4_jaccard_join(spark, sf_dir):
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op5_bpe(spark, sf_dir):

@@ -5,7 +5,7 @@ import importlib
 import os
 
 import pytest
-from test_llm_pairs import linked, trimmed
+from test_llm_pairs import linked, shingles, trimmed
 from test_llm_text import report_of
 
 import corpus_pipeline
@@ -70,6 +70,24 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(final)
 
 
+def test_near_duplicates_share_four_fifths_of_five_word_shingles(spark, frame, tmp_path):
+    def texts(block, at):
+        """A text of 104 words and its copy with a block of so many others."""
+        words = [f"w{at}x{i}" for i in range(104)]
+        return " ".join(words), " ".join([*words[:50], *(f"y{i}" for i in range(block)), *words[50 + block :]])
+
+    # Of 100 shingles of five words a block changes four more than its words: 89 of 111 shared, and 88 of 112.
+    docs = [t for at, block in enumerate((7, 8, 4, 20)) for t in texts(block, at)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(docs)]
+    given = frame("doc_id bigint, text string, lang string, source string, n_chars bigint", *rows)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, given, SF).collect()}
+    found = [(i, shingles(t, 5)) for i, t in enumerate(docs)]
+    assert kept == {i for i, s in found if not any(100 * len(s & o) >= 80 * len(s | o) for j, o in found if j < i)} == {0, 2, 3, 4, 6, 7}
+    given.write.parquet(f"{tmp_path}/documents.parquet")
+    components = {r.doc_id: r.component_id for r in QUERIES["op4_jaccard_join"](spark, str(tmp_path)).collect()}
+    assert components == {i: i if i != 5 else 4 for i in range(8)}
+
+
 def test_pipeline_on_odd_rows(spark, frame, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     odd = frame(schema, (1, "plain words of a text", "en", "s", 21), (2, None, None, None, None), (None, "other words of a text", None, "s", 1), (1, "plain words of a text", "en", "s", 21), (3, "", "en", "s", 0))
