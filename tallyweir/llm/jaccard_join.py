@@ -134,24 +134,24 @@ def _sets(batches: Iterator[pa.RecordBatch], needed: np.ndarray, size: int) -> I
 
 
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Verified links of each (hub, block), whose rows come together; members left open if there are more blocks."""
+    """Verified links of each (hub, block, visit), whose rows come together; bytes of members left open if there are more blocks."""
     held, key = [], None
-    out: list[tuple[int, int, bool]] = []
+    out: list[tuple[int, int, int | None]] = []
 
     def flushed(least: int) -> Iterator[pa.RecordBatch]:
         if len(out) >= least and out:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_())],
+                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
                 names=["a", "b", "open"],
             )
             out.clear()
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("hub", "block", "doc", "role", "blocks", "shingles")]
-        for hub, block, doc, role, blocks, shingles in zip(*columns, strict=True):
-            if (hub, block) != key:
+        columns = [batch.column(n).to_pylist() for n in ("hub", "block", "visit", "doc", "role", "blocks", "shingles")]
+        for hub, block, visit, doc, role, blocks, shingles in zip(*columns, strict=True):
+            if (hub, block, visit) != key:
                 out += _compared(key, held, percent) if key else ()
-                held, key = [], (hub, block)
+                held, key = [], (hub, block, visit)
                 yield from flushed(10_000)
             held.append((role, doc, blocks, np.frombuffer(shingles, np.uint64)))
     out += _compared(key, held, percent) if key else ()
@@ -166,7 +166,29 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (low + high - shared)
 
 
-def _compared(key, held: list, percent: int) -> list[tuple[int, int, bool]]:
+class _Groups:
+    """Documents joined so far: of the links among many alike, only those that join more are told."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, doc: int) -> int:
+        while (up := self.parent.get(doc, doc)) != doc:
+            self.parent[doc] = self.parent.get(up, up)
+            doc = up
+        return doc
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def of(self, docs: list) -> np.ndarray:
+        return np.array([self.find(d) for d, _ in docs])
+
+
+def _compared(key, held: list, percent: int) -> list[tuple[int, int, int | None]]:
     hub = key[0]
     by_role = {role: [] for role in (HUB, MEMBER, PARTNER, VISITOR)}
     seen = set()
@@ -175,44 +197,52 @@ def _compared(key, held: list, percent: int) -> list[tuple[int, int, bool]]:
         if held_as not in seen:
             seen.add(held_as)
             by_role[role].append((doc, blocks, shingles))
+    groups = _Groups()
     # More than one if a doc_id is repeated with other texts.
     own = [s for _, _, s in by_role[HUB]]
-    joins = lambda s: any(_alike(o, s, percent) for o in own)
-    found = [(hub, doc, False) for doc, _, s in by_role[PARTNER] if joins(s)]
-    visitors = by_role[VISITOR]
     members = [m for m in by_role[MEMBER] if m[0] != hub]
-    if visitors:
-        found += _cross([(d, s) for d, _, s in visitors], [(d, s) for d, _, s in members], percent)
-        return found
+    if not own:
+        # The hub and the members of one block are compared already; these are visits.
+        return _cross([(d, s) for d, _, s in by_role[VISITOR]], [(d, s) for d, _, s in members], percent, groups)
+    joins = lambda s: any(_alike(o, s, percent) for o in own)
+    found = [(hub, doc, None) for doc, _, s in by_role[PARTNER] if joins(s)]
     open_, linked = [], []
     for doc, blocks, shingles in members:
         if joins(shingles):
-            found.append((hub, doc, False))
+            found.append((hub, doc, None))
+            groups.join(hub, doc)
             linked.append((doc, shingles))
         else:
             open_.append((doc, shingles))
             if blocks > 1:
-                found.append((hub, doc, True))
-    found += _cross(open_, linked, percent) + _cross(open_, open_, percent)
+                found.append((hub, doc, shingles.nbytes))
+    found += _cross(open_, linked, percent, groups) + _cross(open_, open_, percent, groups)
     return found
 
 
-def _cross(some: list, others: list, percent: int, tile: int = 256) -> list[tuple[int, int, bool]]:
+def _cross(some: list, others: list, percent: int, groups: _Groups, tile: int = 256) -> list[tuple[int, int, None]]:
     """Links between two lists of (doc, set), by tiles in order of size; sizes too far apart are skipped."""
     found = []
+    same = some is others
     some, others = (sorted(x, key=lambda d: len(d[1])) for x in (some, others))
     for i in range(0, len(some), tile):
         left = some[i : i + tile]
-        for j in range(0, len(others), tile):
+        for j in range(i if same else 0, len(others), tile):
             right = others[j : j + tile]
             if 100 * len(left[-1][1]) < percent * len(right[0][1]) or 100 * len(right[-1][1]) < percent * len(left[0][1]):
                 continue
-            found += _tile(left, right, percent)
+            found += _tile(left, right, percent, groups)
     return found
 
 
-def _tile(left: list, right: list, percent: int) -> list[tuple[int, int, bool]]:
-    """All overlaps of two tiles at once: a product of their incidence matrices over shared shingles."""
+def _tile(left: list, right: list, percent: int, groups: _Groups) -> list[tuple[int, int, None]]:
+    """All overlaps of two tiles at once: a product of their incidence matrices over shared shingles.
+
+    Told are links that join groups, fewer than there are documents, and a tile of one group is skipped.
+    """
+    apart = groups.of(left)[:, None] != groups.of(right)[None, :]
+    if not apart.any():
+        return []
     sizes = [np.array([len(s) for _, s in x]) for x in (left, right)]
     flat = [np.concatenate([s for _, s in x]) for x in (left, right)]
     shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
@@ -233,8 +263,17 @@ def _tile(left: list, right: list, percent: int) -> list[tuple[int, int, bool]]:
             parts.append(matrix)
         overlap += parts[0] @ parts[1].T
     union = sizes[0][:, None] + sizes[1][None, :] - overlap
-    a, b = np.nonzero(100 * overlap.astype(np.float64) >= percent * union)
-    return [(left[i][0], right[j][0], False) for i, j in zip(a.tolist(), b.tolist(), strict=True) if left[i][0] != right[j][0]]
+    alike = 100 * overlap.astype(np.float64) >= percent * union
+    found = []
+    while (alike & apart).any():
+        # One link of each row at a time; what it joins needs no more.
+        new = alike & apart
+        for i in np.flatnonzero(new.any(axis=1)).tolist():
+            a, b = left[i][0], right[int(new[i].argmax())][0]
+            if groups.join(a, b):
+                found.append((a, b, None))
+        apart = groups.of(left)[:, None] != groups.of(right)[None, :]
+    return found
 
 
 def _needed(a: Column, b: Column, percent: int) -> Column:
@@ -274,7 +313,7 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("hub", "block").sortWithinPartitions("hub", "block")
+    return rows.repartition("hub", "block", "visit").sortWithinPartitions("hub", "block", "visit")
 
 
 def _of_classes(candidates: DataFrame, classes: DataFrame) -> DataFrame:
@@ -307,21 +346,27 @@ def similar_pairs(docs: DataFrame, classes: DataFrame, sketch: np.ndarray, size:
     placed = stored(placed.select("hub", "block", "doc", "role", "blocks").union(hubs), "hub-members")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << NEEDED_BITS))
     sets = _needed_sets(texts, placed, bit, size)
-    filled = placed.join(sets, "doc")
-    schema = "a bigint, b bigint, open boolean"
+    filled = placed.withColumn("visit", F.lit(0)).join(sets, "doc")
+    schema = "a bigint, b bigint, open bigint"
     links = stored(_grouped(filled).mapInArrow(lambda batches: _links(batches, percent), schema), "links")
-    # Members of a hub with several blocks that it does not link visit the other blocks.
-    visits = (
-        links.where("open").select(F.col("a").alias("hub"), F.col("b").alias("doc"))
-        .join(width, "hub").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    found = links.where("open IS NULL").select("a", "b")
+    # Members of a hub with several blocks that it does not link visit the other blocks, a block of them at a time.
+    open_ = stored(links.where("open IS NOT NULL").groupBy(F.col("a").alias("hub"), F.col("b").alias("doc")).agg(F.sum("open").alias("size")), "open-members")
+    if open_.isEmpty():
+        return found
+    visits = open_.groupBy("hub").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("visits"))
+    visitors = (
+        open_.join(visits, "hub").join(width, "hub").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+        .withColumn("visit", F.pmod(F.xxhash64("doc"), F.greatest("visits", F.lit(1))).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own")
-        .select("hub", "block", "doc", F.lit(VISITOR).alias("role"), "blocks")
+        .select("hub", "block", "doc", F.lit(VISITOR).alias("role"), "blocks", "visit")
     )
-    found = links.where("not open").select("a", "b")
-    if width.where("blocks > 1").isEmpty():
-        return found
-    again = placed.where((F.col("blocks") > 1) & (F.col("role") == MEMBER)).union(visits).join(sets, "doc")
-    more = _grouped(again).mapInArrow(lambda batches: _links(batches, percent), schema).where("not open")
+    # Only blocks that have visitors are needed again.
+    visited = placed.where((F.col("blocks") > 1) & (F.col("role") == MEMBER)).join(
+        visitors.select("hub", "block", "visit").distinct(), ["hub", "block"]
+    )
+    again = visited.select(visitors.columns).union(visitors).join(sets, "doc")
+    more = _grouped(again).mapInArrow(lambda batches: _links(batches, percent), schema)
     return found.union(more.select("a", "b"))
 
 

@@ -75,6 +75,35 @@ def test_join_equals_brute_force(spark, frame, monkeypatch, long_list, block_byt
     assert sorted(map(tuple, found.collect()), key=str) == linked(docs)
 
 
+def test_links_of_a_hub_grow_with_its_members_only():
+    def held(role, doc, *shingles):
+        return role, doc, 2, np.array(sorted(shingles), np.uint64)
+
+    hub, member, visitor = jaccard_join.HUB, jaccard_join.MEMBER, jaccard_join.VISITOR
+    family = [held(member, i, *range(100, 400), 1000 + i) for i in range(1, 601)]
+    assert jaccard_join._compared((0, 1, 0), family, 85) == []
+    # A family that its hub is no part of, and visitors that are part of it.
+    found = jaccard_join._compared((0, 0, 0), [held(hub, 0, 100, 5, 6), *family], 85)
+    assert [f for f in found if f[2]] == [(0, i, 301 * 8) for i in range(1, 601)]
+    visits = jaccard_join._compared((0, 1, 0), [*family[:400], *(held(visitor, i, *s.tolist()) for _, i, _, s in family[400:])], 85)
+    for links in ([f for f in found if not f[2]], visits):
+        groups = Union()
+        for a, b, _ in links:
+            groups.join(a, b)
+        assert len(links) == 599 and {groups.find(i) for i in range(1, 601)} == {1}
+
+
+def test_blocks_that_all_join_the_hub_are_not_compared_again(frame, monkeypatch):
+    edges = []
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(jaccard_join, "components", lambda e: edges.append(e.count()) or components.components(e))
+    docs = [(i, " ".join(f"x{i}" if k == i else f"w{k}" for k in range(300))) for i in range(200)]
+    found = jaccard_join.join(frame(DOCS, *docs))
+    assert {r.component_id for r in found.collect()} == {0}
+    assert edges[0] < 10 * len(docs)
+
+
 def test_join_on_odd_tables(frame):
     assert jaccard_join.join(frame(DOCS)).count() == 0
     assert sorted(map(tuple, jaccard_join.join(frame(DOCS, (2, "a b c d e"), (2, "v w x y z"), (1, "v w x y z"))).collect())) == [
