@@ -2,9 +2,9 @@
 
 A gram is four characters in one long, 16 bits each, so that contexts and shorter grams are shifts
 and masks of columns. Each task counts its distinct grams; the counts of all orders, their contexts
-and the probabilities are grouped sums and joins sharded by language and gram. The probabilities of
-all grams that occur anywhere then go out in blocks of bounded size, and each pass over the documents
-adds up the log-probabilities of one block's grams.
+and the probabilities are grouped sums and joins sharded by language and gram. To score, texts are
+dealt into parts of bounded size; each part's distinct grams are joined with their probabilities by
+language and gram, and what is found comes back to the part's texts.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from tallyweir.llm.common import slices, stored
 
 ORDER = 4
 CODE_BITS = 16
-# Grams sent to the executors at once: 12 bytes each.
-BLOCK_GRAMS = 2_000_000
+# Characters of the texts that are scored together, on average; they have no more distinct grams.
+PART_GRAMS = 16 << 20
 # One in so many trusted documents sets the thresholds instead of training the model.
 CALIBRATION_FOLDS = 5
 # Of these, the share that passes.
@@ -68,7 +69,7 @@ def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((table[used], rest)), np.concatenate((counts[used], times))
 
 
-def _by_language(rows: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+def _by_language(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[str, np.ndarray]]:
     langs = np.array(rows.column("lang").to_pylist(), object)
     for lang in sorted(set(langs.tolist())):
         yield lang, np.flatnonzero(langs == lang)
@@ -179,36 +180,50 @@ class _Lookup:
         return found
 
 
-def _added(batches: Iterator[pa.RecordBatch], block: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    tables = {lang: _Lookup(*arrays) for lang, arrays in block.items()}
-    for batch in batches:
-        for rows in slices(batch, "text", SLICE_BYTES):
-            texts = [t or "" for t in rows.column("text").to_pylist()]
-            log_p = rows.column("log_p").to_numpy().copy()
-            for lang, at in _by_language(rows):
-                if lang not in tables:
-                    continue
-                own = [texts[i] for i in at.tolist()]
-                grams, _ = _gram_codes(own)
-                row = np.repeat(at, [len(t) for t in own])
-                log_p += np.bincount(row, tables[lang](grams), minlength=len(log_p))
-            yield pa.RecordBatch.from_arrays(
-                [*(rows.column(n) for n in rows.schema.names[:-1]), pa.array(log_p)], names=rows.schema.names
-            )
-
-
-def score(docs: DataFrame, log_p: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def _asked(rows: pa.Table) -> pa.Table:
+    """Distinct grams of one part's texts by language."""
+    held: dict[str, np.ndarray] = {}
+    for batch in rows.to_batches():
+        for own in slices(batch, "text", SLICE_BYTES):
+            texts = [t or "" for t in own.column("text").to_pylist()]
+            for lang, at in _by_language(own):
+                grams, _ = _distinct(_gram_codes([texts[i] for i in at.tolist()])[0])
+                held[lang] = np.union1d(held.get(lang, grams[:0]), grams)
+    sizes = [len(grams) for grams in held.values()]
+    langs = pa.array(list(held), pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+    grams = np.concatenate(list(held.values())).view(np.int64)
+    return pa.table({"part": pa.repeat(rows.column("part")[0], len(grams)), "lang": langs, "gram": grams})
+
+
+def _summed(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """``doc_id, lang, n_chars, log_p`` of one part's texts from the probabilities of its grams."""
+    found = np.zeros(rows.num_rows)
+    for lang, at in _by_language(rows):
+        own = known.filter(pc.equal(known.column("lang"), lang))
+        lookup = _Lookup(own.column("gram").to_numpy().view(np.uint64), own.column("log_p").to_numpy())
+        done = 0
+        for batch in rows.select(["text"]).take(pa.array(at)).to_batches():
+            for some in slices(batch, "text", SLICE_BYTES):
+                texts = [t or "" for t in some.column("text").to_pylist()]
+                row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+                grams, _ = _gram_codes(texts)
+                found[at[done : done + len(texts)]] = np.bincount(row, lookup(grams), minlength=len(texts))
+                done += len(texts)
+    return pa.table({**{n: rows.column(n) for n in ("doc_id", "lang", "n_chars")}, "log_p": found})
+
+
+def score(docs: DataFrame, log_p: DataFrame, part_grams: int = PART_GRAMS) -> DataFrame:
     """``doc_id, lang, n_chars, log_p``: the summed log-probability of every row's whole text."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text", F.lit(0.0).alias("log_p"))
-    blocks = max(1, -(-log_p.count() // block_grams))
-    for number in range(blocks):
-        own = log_p.where(F.pmod(F.xxhash64("lang", "gram"), F.lit(blocks)) == number).toArrow()
-        langs = own.column("lang").to_numpy()
-        grams, values = own.column("gram").to_numpy().view(np.uint64), own.column("log_p").to_numpy().astype(np.float32)
-        sent = spark.sparkContext.broadcast({str(x): (grams[langs == x], values[langs == x]) for x in set(langs.tolist())})
-        rows = rows.mapInArrow(lambda batches, sent=sent: _added(batches, sent.value), rows.schema)
-    return rows.select("doc_id", "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "log_p")
+    n_chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text", n_chars.alias("n_chars"))
+    parts = max(1, -(-(rows.agg(F.sum("n_chars")).first()[0] or 0) // part_grams))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+    # Both groupings of the texts are one exchange of the plan.
+    asked = rows.groupBy("part").applyInArrow(_asked, "part int, lang string, gram bigint")
+    known = asked.join(log_p.select("lang", "gram", F.col("log_p").cast("float")).hint("merge"), ["lang", "gram"])
+    return rows.groupBy("part").cogroup(known.select("part", "lang", "gram", "log_p").groupBy("part")).applyInArrow(
+        _summed, rows.select("doc_id", "lang", "n_chars").schema.add("log_p", "double")
+    )
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -216,6 +216,22 @@ def test_probabilities_equal_plain_kneser_ney(spark, frame, monkeypatch, block_g
         assert found[i]["log_p"] == pytest.approx(sum(math.log(p(padded[k : k + 4])) for k in range(len(text))), rel=1e-4, abs=1e-4)
 
 
+def test_scores_are_joined_without_the_driver(spark, frame, monkeypatch):
+    docs = frame("doc_id bigint, text string, lang string, part string", (1, "abab", "en", "x"), (1, "abab", "en", "x"), (2, "é😀", None, "x"), (None, None, "en", "x"),
+                 (4, "", "fr", "x"), (5, "abab", "fr", "x"))
+    grams = docs.selectExpr("text", "coalesce(lang, 'und') AS lang", "doc_id = 1 AS train").na.fill(False).mapInArrow(quality._counted, "lang string, gram bigint, count bigint")
+    log_p = quality.log_probabilities(grams.groupBy("lang", "gram").agg(F.sum("count").alias("count")))
+
+    def refuse(*_):
+        raise AssertionError("a table goes through the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    whole, dealt = (sorted(map(tuple, quality.score(docs, log_p, n).collect()), key=str) for n in (1000, 1))
+    assert whole == dealt and [r[:3] for r in whole] == [(1, "en", 4), (1, "en", 4), (2, "und", 2), (4, "fr", 0), (5, "fr", 4), (None, "en", 0)]
+    assert whole[0] == whole[1] and whole[0][3] < 0 and [r[3] for r in whole[2:]] == [0, 0, 0, 0]
+
+
 def test_quality_keeps_trusted_text_and_drops_junk(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
