@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tallyweir.llm.common import flat_bytes, release_memory, slices, stored
 from tallyweir.llm.shingles import forget_powers, mixed, powers
-from tallyweir.llm.suffix_sort import sort_suffixes
+from tallyweir.llm.suffix_sort import DEPTH, sort_suffixes
 
 LENGTH = 50
 GRAM = 16
@@ -393,8 +393,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     removed runs as start, end, start, end, ...; ``as_text`` decodes what is kept, without characters
     that lost some of their bytes. A null text is empty; texts under ``length`` bytes
     lose nothing. Rows with one doc_id never remove each other's bytes, and a row with a null doc_id
-    neither loses nor removes any. Other columns are ignored unless carried.
+    neither loses nor removes any. Other columns are ignored unless carried. Common prefixes are told
+    to ``DEPTH`` letters, so a greater ``length`` raises an error.
     """
+    if length > DEPTH:
+        raise ValueError(f"repeats of {length} bytes: common prefixes are told to {DEPTH} letters only")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select("doc_id", *carry, body.alias("body"))
     rows = rows.withColumn("digest", F.substring(F.unhex(F.sha2("body", 256)), 1, DIGEST))

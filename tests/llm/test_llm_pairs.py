@@ -210,6 +210,11 @@ def test_repeats_of_fifty_bytes_in_long_and_no_texts(frame):
     assert suffix_dedup.report(frame(DOCS)).count() == 0
 
 
+def test_repeats_longer_than_the_sorted_depth_are_an_error():
+    with pytest.raises(ValueError, match="65 bytes"):
+        suffix_dedup.remove_repeats(None, length=suffix_sort.DEPTH + 1)
+
+
 def test_trimmed_texts_keep_their_columns(frame):
     passage = "an eminently repeatable passage of more than fifty bytes, é"
     docs = frame(DOCS + ", n_chars bigint, spans string", (1, passage, 59, "a"), (2, "new: " + passage + " end", 68, None), (3, passage, 59, "b"), (4, None, None, None), (5, "", 0, ""))
