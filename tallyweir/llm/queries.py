@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweir.llm import ann, bpe, decontaminate, html_text, jaccard_join, language, quality, suffix_dedup, url_filter, warc
+from tallyweir.llm import (
+    ann, bpe, decontaminate, hard_negatives, html_text, jaccard_join, language, packing, quality, suffix_dedup,
+    url_filter, vector_codes, warc,
+)
 from tallyweir.llm.common import table
 
 
@@ -71,10 +74,31 @@ def op10_warc(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontaminate, op3_html_text, op4_jaccard_join, op5_bpe, op6_quality, op7_language, op8_suffix_dedup, op9_nearest, op10_warc)}
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(vectors.withColumn("label", moved), vectors.where(F.col("vec_id") % 100 == 0))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_decontaminate, op3_html_text, op4_jaccard_join, op5_bpe, op6_quality, op7_language,
+    op8_suffix_dedup, op9_nearest, op10_warc, op11_vector_codes, op12_packing, op13_hard_negatives,
+)}
 
 ORACLES = {
     "op2_decontaminate": decontaminate.REPORT_SQL,
+    "op11_vector_codes": vector_codes.COMPRESS_SQL,
+    "op13_hard_negatives": hard_negatives.MINE_SQL,
     "op10_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
 o AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS owner FROM p)
