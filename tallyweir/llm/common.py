@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweir.session import shared_folder
@@ -35,18 +35,33 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def least_by_hash(df: DataFrame, rows: int, *columns: str) -> DataFrame:
-    """At most ``rows`` rows of ``df``: those of least hash of ``columns``, ties by the columns.
+# Hashes that a sample is drawn by, and how far an estimated count of distinct rows may be off.
+HASHES = 1 << 40
+ESTIMATE_MARGIN = 2
 
-    A bound on the hash, from the row count, lets about half as many again through to the sort, so
-    that what is brought together does not grow with the data.
+
+def least_by_hash(df: DataFrame, rows: int, *columns: str, per: str | None = None) -> DataFrame:
+    """``rows`` distinct rows of ``df`` by ``columns``, or all if there are fewer: those of least hash.
+
+    With ``per``, so many for each value of that column (null is one), however rare it is. Of rows that agree
+    in the columns any one stands for all, so that copies neither crowd out other rows nor come back.
+
+    The hashes are written once. Those below a bound, which an estimate of the distinct rows of each
+    value sets with a margin, are ranked, so that what is brought together does not grow with the data.
     """
-    total = df.count()
-    hashed = F.xxhash64(*columns)
-    if total > 3 * rows:
-        scale = 1 << 40
-        df = df.where(F.pmod(hashed, F.lit(scale)) < int(scale * (1.5 * rows + 100) / total))
-    return df.orderBy(F.pmod(hashed, F.lit(1 << 40)), *columns).limit(rows)
+    value = F.col(per).cast("string") if per else F.lit("")
+    keyed = df.withColumns({"_value": value, "_hash": F.pmod(F.xxhash64(*columns), F.lit(HASHES))})
+    keys = stored(keyed.select("_value", "_hash"), "sample-keys")
+    about = keys.groupBy("_value").agg(F.approx_count_distinct("_hash").alias("n"))
+    quick = (F.lit(float(HASHES * ESTIMATE_MARGIN)) * (rows + 100) / F.greatest("n", F.lit(1))).cast("bigint")
+    about = stored(about.select(F.col("_value").alias("_of"), quick.alias("_quick")), "sample-bounds")
+    likely = keys.join(about, F.col("_value").eqNullSafe(F.col("_of"))).where(F.col("_hash") <= F.col("_quick"))
+    ranked = likely.select("_of", "_hash").distinct().withColumn(
+        "rank", F.row_number().over(Window.partitionBy("_of").orderBy("_hash")))
+    bounds = ranked.where(F.col("rank") <= rows).groupBy("_of").agg(F.max("_hash").alias("_most"))
+    bounds = stored(bounds, "sample-bounds")
+    inside = F.col("_value").eqNullSafe(F.col("_of")) & (F.col("_hash") <= F.col("_most"))
+    return keyed.join(bounds, inside).dropDuplicates(list(columns)).select(*(df[f"`{c}`"] for c in df.columns))
 
 
 # Bits of the bitmap that tells which keys can be in a set: 4 MB, however large the set.

@@ -45,6 +45,8 @@ FEATURE_BITS = 13
 STEPS, RATE, RIDGE = 250, 0.1, 3e-4
 # Pages of the data, with an article element, that the model also learns from: those of smallest hash.
 SAMPLE_PAGES = 300
+# Of at most so many bytes each.
+SAMPLE_PAGE_BYTES = 256 << 10
 
 
 class Block(NamedTuple):
@@ -239,13 +241,15 @@ def decode(model: Model, scores: list[float]) -> list[int]:
 
 
 def train(pages: DataFrame | None = None, sample_pages: int = SAMPLE_PAGES) -> Model:
-    """The model of the labelled pages and, if given, of ``sample_pages`` rows of ``pages`` with an article element.
+    """The model of the labelled pages and, if given, of ``sample_pages`` different ``pages`` with an article element.
 
-    In those, blocks in the article and in no menu, header, footer, aside or form are the main text.
+    In those, blocks in the article and in no menu, header, footer, aside or form are the main text. Pages
+    of more than ``SAMPLE_PAGE_BYTES`` are not learned from, so that the sample is bounded in bytes; null
+    pages have no article.
     """
     labelled = [blocks_of(page) for page in labelled_pages()]
     if pages is not None:
-        marked = pages.select("html").where(F.contains("html", F.lit("<article")))
+        marked = pages.select("html").where(F.contains("html", F.lit("<article")) & (F.octet_length("html") <= SAMPLE_PAGE_BYTES))
         for row in least_by_hash(marked, sample_pages, "html").collect():
             page = re.sub(r"<(nav|header|footer|aside|form)\b", rf'<\1 {LABEL}="0"', row.html)
             labelled.append(blocks_of(re.sub(r"<article\b", f'<article {LABEL}="1"', page)))

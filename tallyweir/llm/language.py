@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,14 +23,14 @@ from pyspark.sql import types as T
 from tallyweir.llm.common import least_by_hash, release_memory, slices
 
 UNDETERMINED = "und"
-# Labelled texts the model is counted on at most: those of smallest text hash.
-TRAINING_TEXTS = 6_000
+# Different labelled texts of each language that the model is counted on at most: those of smallest hash.
+TRAINING_TEXTS = 2_000
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 SWITCH_PENALTY = 12.0
 # A language is a candidate in a script that holds at least this share of its training letters.
 SCRIPT_SHARE = 0.001
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 SCORED_LETTERS = 1 << 19
 
 # First and last code point of the blocks of each script; all else is script 0.
@@ -52,7 +53,8 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3134F)),
 }
 
-MODEL = "lang string, grams binary, scripts binary"
+# A language's counts: buckets of grams, and after them the scripts.
+COUNTS = "lang string, place int, n double"
 LABELLED = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
 
@@ -108,20 +110,27 @@ def _buckets(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ((three * mix) >> shift).astype(np.int64), ((four >> shift) + half).astype(np.int64)
 
 
-def _count(group: pa.Table) -> pa.Table:
-    """Gram and script counts of one language's texts."""
-    grams = np.zeros(BUCKETS)
-    scripts = np.zeros(len(SCRIPTS) + 1)
-    for batch in group.to_batches():
-        for rows in slices(batch, "text"):
-            words = words_of(rows.column("text").to_pylist())
-            for bucket in _buckets(words.codes, np.flatnonzero(words.codes)):
-                grams += np.bincount(bucket, minlength=BUCKETS)
-            scripts += np.bincount(words.script, words.ends - words.starts, minlength=len(scripts))
-    return pa.table({
-        "lang": group.column("lang").slice(0, 1), "grams": pa.array([grams.tobytes()], pa.binary()),
-        "scripts": pa.array([scripts.tobytes()], pa.binary()),
-    })
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of the grams and scripts of each language."""
+    counted: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for rows in slices(batch, "text", SLICE_BYTES):
+            for lang in pc.unique(rows.column("lang")).to_pylist():
+                own = rows.filter(pc.equal(rows.column("lang"), lang))
+                words = words_of(own.column("text").to_pylist())
+                counts = counted.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1))
+                for bucket in _buckets(words.codes, np.flatnonzero(words.codes)):
+                    counts[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+                counts[BUCKETS:] += np.bincount(words.script, words.ends - words.starts, minlength=len(SCRIPTS) + 1)
+    for lang, counts in counted.items():
+        used = np.flatnonzero(counts)
+        # A language without any letters is one all the same.
+        used = used if len(used) else np.zeros(1, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(counts[used])],
+            names=["lang", "place", "n"],
+        )
+    release_memory()
 
 
 class Model(NamedTuple):
@@ -131,22 +140,26 @@ class Model(NamedTuple):
 
 
 def train(labelled: DataFrame, training_texts: int = TRAINING_TEXTS) -> Model:
-    """Gram scores of every language of ``labelled`` (text, lang) in a sample of ``training_texts`` rows.
+    """Gram scores of every language of ``labelled`` (text, lang), from ``training_texts`` different texts of each.
 
-    Rows without a text or language are left out. A language is one group of the bounded sample;
-    without labelled rows there are no languages.
+    Rows without a text or language are left out, copies of a text count once, and a language with fewer
+    texts gives all it has, however rare it is. Texts are counted where they lie, and only counts are added up:
+    the driver gets 65,553 numbers a language at most. Without labelled rows there are no languages.
     """
     known = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sample = least_by_hash(known, training_texts, "text", "lang")
-    counted = sorted(sample.groupBy("lang").applyInArrow(_count, MODEL).collect(), key=lambda r: r.lang)
-    grams = np.array([np.frombuffer(r.grams) for r in counted]).reshape(-1, BUCKETS).T
+    sample = least_by_hash(known, training_texts, "text", "lang", per="lang")
+    summed = sample.mapInArrow(_count, COUNTS).groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(pc.unique(summed.column("lang")).to_pylist())
+    counts = np.zeros((BUCKETS + len(SCRIPTS) + 1, len(languages)))
+    column = pc.index_in(summed.column("lang"), pa.array(languages, pa.string())).to_numpy()
+    counts[summed.column("place").to_numpy(), column] = summed.column("n").to_numpy()
+    grams, scripts = counts[:BUCKETS], counts[BUCKETS:]
     halves = grams.reshape(2, BUCKETS // 2, -1)
     share = (halves + SMOOTHING) / (halves.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS / 2)
-    scripts = np.array([np.frombuffer(r.scripts) for r in counted]).reshape(-1, len(SCRIPTS) + 1).T
     allowed = scripts >= np.maximum(scripts.sum(axis=0) * SCRIPT_SHARE, 1)
     # Words of a script that no language is written in are open to all.
     allowed |= ~allowed.any(axis=1, keepdims=True)
-    return Model([r.lang for r in counted], np.log(share).reshape(BUCKETS, -1).astype(np.float32), allowed)
+    return Model(languages, np.log(share).reshape(BUCKETS, -1).astype(np.float32), allowed)
 
 
 def _word_scores(words: Words, model: Model) -> np.ndarray:
@@ -206,7 +219,7 @@ def best_path(scores: np.ndarray, counts: np.ndarray, penalty: float = SWITCH_PE
     return labels
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch], model: Model, penalty: float, keep_text: bool) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
     names = np.array([*model.languages, UNDETERMINED], object)
     for batch in batches:
@@ -230,7 +243,7 @@ def _labelled(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) -
                 for text, a, b, name in zip(words.text[first].tolist(), (words.starts[first] - base).tolist(),
                                             (words.ends[last] - base).tolist(), names[labels[first]].tolist(), strict=True):
                     spans[text].append({"start": a, "end": b, "lang": name})
-            carried = [n for n in rows.schema.names if n != "text"]
+            carried = [n for n in rows.schema.names if keep_text or n != "text"]
             del words
             yield pa.RecordBatch.from_arrays(
                 [*map(rows.column, carried), pa.array(names[chosen].tolist(), pa.string()), pa.array(share), pa.array(spans, span)],
@@ -248,9 +261,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, car
     model has no languages. Repeated rows are labelled each; other columns are ignored unless carried.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", "text", *carry)
-    schema = T.StructType([*rows.drop("text").schema, *T.StructType.fromDDL(LABELLED)])
-    return rows.mapInArrow(lambda batches: _labelled(batches, sent.value, penalty), schema)
+    keep_text = "text" in carry
+    rows = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
+    schema = T.StructType([*(rows if keep_text else rows.drop("text")).schema, *T.StructType.fromDDL(LABELLED)])
+    return rows.mapInArrow(lambda batches: _labelled(batches, sent.value, penalty, keep_text), schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -258,7 +272,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_language(docs: DataFrame, training_texts: int = TRAINING_TEXTS) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, spans``; learned from the labelled rows that are not held out."""
+    """``doc_id, held_out, lang_pred, score, spans``; learned from the labelled rows that are not held out.
+
+    Nulls, texts without letters, repeated rows and empty tables: as in ``train`` and ``identify``.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))), training_texts)
     return identify(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
@@ -266,10 +283,13 @@ def with_language(docs: DataFrame, training_texts: int = TRAINING_TEXTS) -> Data
 def keep_identified(docs: DataFrame, training_texts: int = TRAINING_TEXTS) -> DataFrame:
     """The rows of ``docs`` whose text is in a language, with all their columns; a null ``lang`` is filled in.
 
-    Texts that are ``und`` go: null ones and those without letters.
+    Texts that are ``und`` go: null ones and those without letters. Repeated rows stay each, texts of any
+    length are judged whole, and of a table without labelled texts nothing is left.
     """
     model = train(docs.where(~held_out(F.col("doc_id"))), training_texts)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    found = identify(docs.select("doc_id", "text", row), model, carry=("row",)).where(F.col("lang_pred") != UNDETERMINED)
-    filled = {"lang": F.coalesce("row.lang", "lang_pred")}
-    return found.select(*(filled.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    # Columns of any name beside those of the method; the text itself goes to Python and back once.
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    found = identify(docs.select("doc_id", "text", others), model, carry=("text", "row"))
+    found = found.where(F.col("lang_pred") != UNDETERMINED)
+    own = {"lang": F.coalesce("row.lang", "lang_pred"), "text": F.col("text")}
+    return found.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

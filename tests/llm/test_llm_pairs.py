@@ -136,6 +136,22 @@ def test_rows_that_can_have_a_key_and_those_that_cannot(spark, frame):
     assert least_by_hash(rows.limit(5), 100, "bucket").count() == 5
 
 
+def test_samples_hold_as_many_different_rows_as_asked(spark, frame):
+    from tallyweir.llm.common import least_by_hash
+
+    # A text in two thirds of the rows, many texts once, a few often, and a rare language.
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 2 = 0 THEN concat('t', id) ELSE concat('c', id % 4) END AS t",
+        "CASE WHEN id % 3 > 0 OR id % 2 = 0 THEN 'en' WHEN id = 3 THEN 'rare' WHEN id % 4 = 1 THEN NULL ELSE 'de' END AS l", "1 AS _hash2")
+    for asked in (1, 50, 5_000, 100_000):
+        sample = least_by_hash(rows, asked, "t", "l", per="l").groupBy("l").count().collect()
+        every = rows.distinct().groupBy("l").count().collect()
+        assert {r.l: r["count"] for r in sample} == {r.l: min(asked, r["count"]) for r in every}
+    assert least_by_hash(rows, 30, "t").count() == 30
+    assert {r.t for r in least_by_hash(rows.where("t = 'hot'"), 30, "t").collect()} == {"hot"}
+    assert least_by_hash(rows.limit(0), 30, "t", per="l").count() == 0
+
+
 def test_components_of_chains_stars_and_loops(frame):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, 500 + i) for i in range(60)] + [(7, 7), (None, 3)]

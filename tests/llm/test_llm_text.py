@@ -161,6 +161,27 @@ def test_spans_scripts_and_texts_without_letters(spark, frame):
     assert language.with_language(labelled.limit(0)).count() == 0
 
 
+def test_few_texts_many_times_and_a_rare_language_are_learned(spark, frame):
+    said = {"en": "the house and the garden", "de": "das haus und der garten", "fr": "la maison et le jardin", "es": "la casa y el campo"}
+    cases = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(said.values()))
+    names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(said))
+    docs = spark.range(60_000).selectExpr("id AS doc_id", f"CASE id % 4 {cases} END AS text", f"CASE id % 4 {names} END AS lang")
+    rare = frame("doc_id bigint, text string, lang string", (70_001, "дом и сад", "ru"), (70_002, "дом и сад", None), (70_004, "дом и сад", "ru"))
+    docs = docs.unionByName(rare)
+    model = language.train(docs)
+    assert model.languages == sorted([*said, "ru"])
+    found = language.with_language(docs, training_texts=3).join(docs, "doc_id").where("lang_pred <> coalesce(lang, 'ru')")
+    assert found.count() == 0
+    assert language.keep_identified(docs).count() == 60_003
+
+
+def test_long_text_is_labelled_whole(spark, frame):
+    labelled = frame("doc_id bigint, text string, lang string", *((i, t, n) for i in range(9) for n, t in (("en", "the house and the garden"), ("de", "das haus und der garten"))))
+    text = "the house and the garden " * 20_000 + "das haus und der garten " * 30_000
+    row = language.identify(frame("doc_id bigint, text string", (1, text)), language.train(labelled)).first()
+    assert row.lang_pred == "de" and [s.lang for s in row.spans] == ["en", "de"] and row.spans[1].end == len(text) - 1
+
+
 def test_identified_rows_keep_their_columns(spark, frame):
     docs = frame("doc_id bigint, text string, lang string, spans string", *((i, "the house and the garden", "en", "s") for i in range(30)), (70, "the house", None, None), (71, "17", "en", "s"), (72, None, None, None))
     kept = language.keep_identified(docs)
