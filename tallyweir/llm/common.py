@@ -18,10 +18,22 @@ from tallyweir.session import shared_folder
 # Bytes of text a Python task works on at once; one longer text is taken alone and whole.
 SLICE_BYTES = 4 << 20
 
+# Bytes of rows that Spark hands a Python worker at once: JVM, pipe and worker each hold a batch or two.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 UPPER_A, UPPER_Z, TO_LOWER = 65, 90, 32
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_BYTES`` for Python workers from here on in the session, if they would be larger."""
+    bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < bytes_of(spark.conf.get(BATCH_SETTING)) <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +43,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     Cuts the lineage: a lost executor costs the tasks it ran, not what led to the table.
     """
     path = shared_folder(df.sparkSession, purpose)
+    modest_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

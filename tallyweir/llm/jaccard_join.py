@@ -38,6 +38,8 @@ POSTING_COST, PAIR_COST, VERIFY_COST = 1.0, 0.5, 20.0
 RARE = 8
 LONG_LIST = 32
 BLOCK_BYTES = 24 << 20
+# Bytes of text hashed at once: some fifty bytes of arrays each.
+SLICE_BYTES = 1 << 20
 NEEDED_BITS = 25
 
 HUB, MEMBER, PARTNER, VISITOR = 0, 1, 2, 3
@@ -53,7 +55,7 @@ def _profiles(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = ["doc_id", "n_shingles", "digest", "part", "counts"]
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", SLICE_BYTES):
             sets = shingle_sets(rows.column("text"), size)
             if sets:
                 everything = np.concatenate(sets)
@@ -100,7 +102,7 @@ def _postings(batches: Iterator[pa.RecordBatch], sketch: np.ndarray, size: int,
     noise = int(sketch.mean())
     met: set[bytes] = set()
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", SLICE_BYTES):
             token, doc, n, asked, rare = [], [], [], [], []
             for doc_id, shingles in zip(rows.column("doc_id").to_pylist(), shingle_sets(rows.column("text"), size), strict=True):
                 # Of equal sets a task lets one go on; their documents are one class already.
@@ -127,7 +129,7 @@ def _sets(batches: Iterator[pa.RecordBatch], needed: np.ndarray, size: int) -> I
         bit = batch.column("bit").to_numpy()
         wanted = np.flatnonzero(needed[bit >> 3] >> (bit & 7) & 1)
         chosen = batch.take(pa.array(wanted))
-        for rows in slices(chosen, "text"):
+        for rows in slices(chosen, "text", SLICE_BYTES):
             packed = [s.tobytes() for s in shingle_sets(rows.column("text"), size)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(packed, pa.binary())], names=["doc", "shingles"])
     forget_powers()
