@@ -78,11 +78,11 @@ def latest_documents(
     order = [F.col(item) if isinstance(item, str) else item for item in written]
     names = [item for item in written if isinstance(item, str)]
     body = [name for name in versions.columns if name not in names and name not in keys]
-    document = F.struct(*body)
+    document = F.struct(*(F.col(f"`{name}`") for name in body))
     # A hash as tie-breaker instead of the document, which the buffer would then hold twice.
     newest = F.max_by(document, F.struct(*order, F.xxhash64(F.to_json(document))))
     kept = versions.groupBy(*keys).agg(newest.alias("_document")).select(*keys, "_document.*")
-    return kept.select(*(name for name in versions.columns if name not in names))
+    return kept.select(*(F.col(f"`{name}`") for name in versions.columns if name not in names))
 
 
 def upsert_documents(

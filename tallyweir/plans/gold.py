@@ -9,10 +9,11 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweir.functions.keys import date_key, surrogate_key
+from tallyweir.operators.months import recent_before
 from tallyweir.operators.skew import heavy_keys, left_fanout
-from tallyweir.operators.windows import last_day, start_before
+from tallyweir.operators.windows import start_before
 from tallyweir.plans.risk_profile import customer_risk_profile
-from tallyweir.sinks.tables import Lake, side_by_side, write_gold
+from tallyweir.sinks.tables import Lake, side_by_side, write_gold, write_gold_by_month
 from tallyweir.sources.calendar import dim_date
 
 # Silver tables that name a customer.
@@ -162,9 +163,9 @@ def refresh_gold(
 ) -> dict[str, int]:
     """Rebuild the nine Gold tables from Silver; returns rows per table.
 
-    Files of a fact are in time order, so a window on a stored fact skips most of each file. The
-    profile reads the stored facts through such windows, from the last days the writes observed,
-    beside the stored customers.
+    A fact is kept by month, its files in time order, so that a window on a stored fact opens the months it
+    touches and skips what lies outside. The profile reads the stored facts through such windows, from the
+    last days the writes observed, beside the stored customers.
     """
     plans = build_gold(silver, days)
     del plans["aggcustomerriskprofile"]
@@ -172,16 +173,18 @@ def refresh_gold(
     def write(name: str) -> dict:
         if name not in FACT_MOMENTS:
             return write_gold(lake, plans[name], name, loaded_at)
-        moment = FACT_MOMENTS[name]
-        in_order = plans[name].sortWithinPartitions(moment)
-        return write_gold(lake, in_order, name, loaded_at, last=last_day(moment))
+        return write_gold_by_month(lake, plans[name], name, FACT_MOMENTS[name], loaded_at)
 
     written = side_by_side(lake, {name: partial(write, name) for name in plans})
+    transactions_last, sessions_last = (written[name]["last"] for name in ("facttransactions", "factdigitalsessions"))
+
+    def recent(name: str, last: int | None) -> DataFrame:
+        return recent_before(lake.read(name), FACT_MOMENTS[name], last, days)
+
     profile = customer_risk_profile(
-        lake.read("facttransactions"), lake.read("factdigitalsessions"),
-        lake.read("factfraudalerts"), silver["devices"],
-        start_before(written["facttransactions"]["last"], days),
-        start_before(written["factdigitalsessions"]["last"], days),
+        recent("facttransactions", transactions_last), recent("factdigitalsessions", sessions_last),
+        recent("factfraudalerts", sessions_last), silver["devices"],
+        start_before(transactions_last, days), start_before(sessions_last, days),
         days, lake.read("dimcustomer"),
     )
     written["aggcustomerriskprofile"] = write_gold(lake, profile, "aggcustomerriskprofile", loaded_at)

@@ -9,6 +9,7 @@ customer dimension beside the rows inside the windows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,8 +26,8 @@ COUNTS = (
     "DistinctDeviceCount", "UntrustedDeviceCount", "GeographicAnomalyCount",
 )
 # Summed beside the published measures, for the average.
-_SCORE_TOTAL = "_score_total"
-_SCORED = "_scored"
+SCORE_TOTAL = "_score_total"
+SCORED = "_scored"
 
 PROFILE_COLUMNS = (
     "CustomerID", "TransactionCount30D", "TotalTransactionAmount30D",
@@ -53,7 +54,7 @@ def _transaction_measures(transactions: DataFrame, recent: Column) -> DataFrame:
         TransactionCount30D=_counted(recent),
         TotalTransactionAmount30D=F.when(recent, F.col("Amount")),
         HighRiskTransactionCount=_counted(recent & elevated),
-        **{_SCORE_TOTAL: score, _SCORED: _counted(score.isNotNull())},
+        **{SCORE_TOTAL: score, SCORED: _counted(score.isNotNull())},
     )
 
 
@@ -130,13 +131,17 @@ def customer_risk_profile(
     given = (
         fact_transactions, fact_sessions, fact_alerts, devices, transactions_start, sessions_start, days,
     )
-    parts = _all_rows(*given) if customers is None else _recent_rows(*given, customers)
+    return profile_of(_all_rows(*given) if customers is None else _recent_rows(*given, customers))
+
+
+def profile_of(parts: Sequence[DataFrame]) -> DataFrame:
+    """The profile from its sources' contributions: stacked, added up by customer, scored."""
     stacked = reduce(
         lambda stack, more: stack.unionByName(more, allowMissingColumns=True), parts
     ).where(F.col("CustomerID").isNotNull())
-    summed = (*COUNTS, "TotalTransactionAmount30D", _SCORED, _SCORE_TOTAL)
+    summed = (*COUNTS, "TotalTransactionAmount30D", SCORED, SCORE_TOTAL)
     totals = stacked.groupBy("CustomerID").agg(*(F.sum(name).alias(name) for name in summed))
-    average = F.when(F.col(_SCORED) > 0, F.col(_SCORE_TOTAL) / F.col(_SCORED))
+    average = F.when(F.col(SCORED) > 0, F.col(SCORE_TOTAL) / F.col(SCORED))
     return scored_profile(
         totals.withColumn("AverageTransactionRiskScore", average)
         .fillna(0, [*COUNTS, "TotalTransactionAmount30D"])

@@ -17,13 +17,13 @@ from tallyweir.frames import Frames, portable, rounded_profile, without_keys
 from tallyweir.functions import rules
 from tallyweir.functions.casting import cast_if_present, is_identifier, quoted
 from tallyweir.functions.keys import surrogate_key
-from tallyweir.operators import checks, counts, customer_metrics, governance, merge, skew, windows
+from tallyweir.operators import checks, counts, customer_metrics, governance, merge, months, skew, windows
 from tallyweir.operators.quality import VALID, with_verdict
 from tallyweir.oracle import _exact, stated
 from tallyweir.plans import audit, consumption, gold, incremental, loading, refresh, serving, silver
 from tallyweir.session import shared_folder
-from tallyweir.sinks import tables as sinks
-from tallyweir.sources import bindings, calendar, documents, tables
+from tallyweir.sinks import keyed, tables as sinks
+from tallyweir.sources import bindings, calendar, documents, evolution, tables
 from tallyweir.streaming import documents as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,39 @@ def _(f):
     )
 
 
+# What a first load of sessions brings beside the contract, and a second one.
+_FIRST_PROPERTIES = ("""concat(',"visits":', n, ',"verified":', n % 2 = 0, ',"tags":["a",', n, '],"note":null')""")
+_SECOND_PROPERTIES = (
+    """concat(',"visits":', if(n % 4 = 0, concat(n, '.5'), string(n)), ',"verified":', if(n % 4 = 0, '"yes"', 'true'),
+              ',"tags":', if(n % 4 = 0, concat('{"t":', n, '}'), '["b"]'), ',"note":"', n, '"',
+              if(n % 10 = 0, '', concat(',"campaign":{"k":', n, '}')))""")
+
+
+@query("s05_evolved_documents", stated(f"""
+SELECT id, sessionId, sessionRiskScore,
+       CASE WHEN n % 2 = 1 OR n % 4 <> 0 THEN n ELSE n + 0.5 END::DOUBLE AS visits,
+       CASE WHEN n % 2 = 1 THEN false WHEN n % 4 <> 0 THEN true END AS verified,
+       CASE WHEN n % 2 = 1 THEN '["a",' || n || ']' WHEN n % 4 <> 0 THEN '["b"]' END AS tags,
+       CASE WHEN n % 2 = 0 AND n % 10 <> 0 THEN '{{"k":' || n || '}}' END AS campaign,
+       CASE WHEN n % 2 = 0 THEN n::VARCHAR END AS note
+FROM (SELECT *, substr(id, 9)::BIGINT AS n FROM src_sessions WHERE {_ACCEPTED})
+WHERE n % 2 = 0 OR n % 3 <> 0"""))
+def _(f):
+    """Two loads: numbers widen, booleans and arrays meet other kinds, two properties are new, one is missing at times."""
+    folder, lake = shared_folder(f.spark, "evolving"), f.lake("evolving")
+    accepted = f.sources.digital_sessions.where("device LIKE '%}' AND customerId IS NOT NULL")
+    number = "cast(substr(id, 9) as bigint)"
+    for name, condition, properties in (("first", "n % 3 <> 0", _FIRST_PROPERTIES), ("second", "n % 2 = 0", _SECOND_PROPERTIES)):
+        lines = bindings.session_lines(accepted).selectExpr("value", "get_json_object(value, '$.id') AS id")
+        lines = lines.selectExpr("value", f"{number} AS n").where(condition)
+        lines = lines.selectExpr(f"concat(substr(value, 1, length(value) - 1), {properties}, '}}') AS value")
+        lines.write.text(f"{folder}/{name}")
+        evolution.load_evolving(lake, f"{folder}/{name}", "digitalSessions")
+    return lake.read("digitalSessions").select(
+        "id", "sessionId", "sessionRiskScore", "visits", "verified", "tags", "campaign", "note"
+    )
+
+
 @query("s06_required_tables", """
 SELECT 'driver_orders' AS table_name, count(*) AS row_count FROM orders
 UNION ALL SELECT 'driver_supplier', count(*) FROM supplier""")
@@ -290,6 +323,43 @@ def _(f):
     return merge.merge_update_matched(target, batch, "TransactionID")
 
 
+_BATCH_ORDERS = "o_orderkey % 50 = 0"
+
+
+@query("m01_partition_insert", stated(f"""
+SELECT TransactionID, AccountID, Amount FROM src_transactions
+UNION ALL
+SELECT TransactionID, AccountID, Amount FROM (
+  SELECT CASE WHEN k % 101 = 0 THEN printf('BAD-%09d', k) ELSE printf('TXN-%09d', k) END AS TransactionID,
+         printf('ACCT%09d', o_custkey * 2 + k % 2) AS AccountID,
+         CASE WHEN k % 83 = 0 THEN NULL WHEN k % 89 = 0 THEN -o_totalprice ELSE o_totalprice END AS Amount
+  FROM (SELECT *, o_orderkey + 1000 AS k FROM orders WHERE {_BATCH_ORDERS}))
+WHERE TransactionID NOT IN (SELECT TransactionID FROM src_transactions)"""))
+def _(f):
+    lake, columns = f.lake("keyed"), ("TransactionID", "AccountID", "Amount")
+    keyed.write_keyed(lake, f.sources.transactions.select(*columns), "transactions", "TransactionID")
+    batch = bindings.transactions(_renumbered_orders(f, 1000).where("(o_orderkey - 1000) % 50 = 0"))
+    keyed.insert_missing_into(lake, "transactions", batch.select(*columns))
+    return keyed.read_keyed(lake, "transactions")
+
+
+@query("m02_partition_update", stated(f"""
+SELECT r.TransactionID, CASE WHEN k IS NULL THEN r.RiskScore WHEN k % 7 = 0 THEN NULL
+         ELSE (k % 100)::DOUBLE END AS RiskScore,
+       CASE WHEN k IS NULL THEN r.RiskBand ELSE 'Low' END AS RiskBand
+FROM src_risk r LEFT JOIN (SELECT o_orderkey + 500 AS k FROM orders WHERE {_BATCH_ORDERS}) b
+  ON r.TransactionID = printf('TXN-%09d', k)"""))
+def _(f):
+    batch = _renumbered_orders(f, 500).where("(o_orderkey - 500) % 50 = 0").selectExpr(
+        "format_string('TXN-%09d', o_orderkey) AS TransactionID",
+        "if(o_orderkey % 7 = 0, NULL, cast(o_orderkey % 100 as double)) AS RiskScore", "'Low' AS RiskBand",
+    )
+    lake = f.lake("keyed")
+    keyed.write_keyed(lake, f.sources.transaction_risk_scores.select(*batch.columns), "scores", "TransactionID")
+    keyed.update_matched_in(lake, "scores", batch)
+    return keyed.read_keyed(lake, "scores")
+
+
 def _device_batch(f: Frames) -> DataFrame:
     """Two versions of every device of every user renumbered by 5; the second one lost trust and history."""
     moved = f.driver("events").withColumn("user_id", F.col("user_id") + 5)
@@ -497,6 +567,18 @@ def _(f):
     return f.recent_sessions(7).select("SessionID", "LoginTimestamp")
 
 
+@query("a07_f08_month_window", stated("""
+SELECT 'week' AS span, TransactionID, TransactionTimestamp FROM w_t UNION ALL
+SELECT 'none', NULL, NULL WHERE false""", 7))
+def _(f):
+    """The trailing week of a fact kept by month."""
+    lake = f.lake("months")
+    columns = ("TransactionID", "TransactionTimestamp", "Amount")
+    sinks.write_by_month(lake, f.transactions.valid.select(*columns), "facttransactions", "TransactionTimestamp")
+    week = months.recent(lake.read("facttransactions"), "TransactionTimestamp", 7)
+    return week.select(F.lit("week").alias("span"), "TransactionID", "TransactionTimestamp")
+
+
 @query("f09_a12_u01_customer_spine", stated("SELECT CustomerID FROM spine"))
 def _(f):
     return f.customers.select("CustomerID")

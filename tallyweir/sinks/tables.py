@@ -19,7 +19,9 @@ from pyspark.sql.types import StructType
 
 from tallyweir import model
 from tallyweir.functions.casting import quoted_identifier
+from tallyweir.operators.months import MONTH, by_month
 from tallyweir.operators.quality import REASON, VALID
+from tallyweir.operators.windows import last_day
 
 
 class Lake(NamedTuple):
@@ -53,6 +55,25 @@ def _new_folder(lake: Lake, table: str) -> str:
     return f"{lake.root}/{lake.schema}/{table.lower()}/{uuid.uuid4().hex}"
 
 
+def _literal(text: str) -> str:
+    """A string of SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def point_partitioned(
+    lake: Lake, table: str, folder: str, schema: StructType, partition: str, properties: Mapping[str, str] | None = None
+) -> None:
+    """Make the name a table over the folder's partitions; ``partition`` is its last column."""
+    lake.spark.sql(f"DROP TABLE IF EXISTS {lake.name(table)}")
+    columns = ", ".join(f"{quoted_identifier(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+    told = ", ".join(f"{_literal(k)} = {_literal(v)}" for k, v in (properties or {}).items())
+    lake.spark.sql(
+        f"CREATE TABLE {lake.name(table)} ({columns}) USING parquet PARTITIONED BY ({quoted_identifier(partition)}) "
+        f"LOCATION {_literal(folder)}" + (f" TBLPROPERTIES ({told})" if told else "")
+    )
+    lake.spark.catalog.recoverPartitions(f"{lake.schema}.{table.lower()}")
+
+
 def _point(lake: Lake, table: str, folder: str, schema: StructType) -> None:
     """Repoint the name: in place where the schema stays, else by recreating the external table.
 
@@ -85,6 +106,25 @@ def write_gold(
     return overwrite(lake, df.withColumn(model.LOAD_STAMP, stamp), table, **measures)
 
 
+def write_by_month(lake: Lake, df: DataFrame, table: str, moment: str) -> dict[str, Any]:
+    """K01 with a partition for each month of ``moment``; returns ``rows`` and ``last``, the last day seen."""
+    folder = _new_folder(lake, table)
+    observed = Observation()
+    placed = by_month(df, moment)
+    counted = placed.observe(observed, F.count(F.lit(1)).alias("rows"), last_day(moment).alias("last"))
+    counted.write.partitionBy(MONTH).parquet(folder)
+    point_partitioned(lake, table, folder, placed.schema, MONTH)
+    return observed.get
+
+
+def write_gold_by_month(
+    lake: Lake, df: DataFrame, table: str, moment: str, loaded_at: datetime | None = None
+) -> dict[str, Any]:
+    """K02 for a fact that is windowed by ``moment``."""
+    stamp = F.current_timestamp() if loaded_at is None else F.lit(loaded_at).cast("timestamp")
+    return write_by_month(lake, df.withColumn(model.LOAD_STAMP, stamp), table, moment)
+
+
 def write_result(lake: Lake, df: DataFrame, table: str, run_at: datetime) -> int:
     """Overwrite a consumption result, all tables of a run sharing one stamp; returns its rows."""
     stamped = df.withColumn("_demo_run_at", F.lit(run_at).cast("timestamp"))
