@@ -21,6 +21,7 @@ from tallyweir.operators import checks, counts, customer_metrics, governance, me
 from tallyweir.operators.quality import VALID, with_verdict
 from tallyweir.oracle import _exact, stated
 from tallyweir.plans import audit, consumption, gold, incremental, loading, refresh, serving, silver
+from tallyweir.plans.daily_profile import DailyProfile
 from tallyweir.session import shared_folder
 from tallyweir.sinks import keyed, tables as sinks
 from tallyweir.sources import bindings, calendar, documents, evolution, tables
@@ -860,6 +861,25 @@ def _(f):
     return rounded_profile(lake.read("aggcustomerriskprofile").drop(model.LOAD_STAMP))
 
 
+@query("j05_risk_profile_daily", stated("SELECT * FROM profile", 30))
+def _(f):
+    """Three advances: what is older than a fortnight, the next ten days, the rest with late rows of all days."""
+    kept = DailyProfile(f.lake("daily"))
+    facts = (
+        (f.fact_transactions, "TransactionTimestamp", "TransactionID"),
+        (f.fact_sessions, "LoginTimestamp", "SessionID"), (f.unlinked_alerts, "AlertTimestamp", "AlertID"),
+    )
+    placed = []
+    for fact, moment, key in facts:
+        last = fact.agg(F.max(F.col(moment).cast("date"))).first()[0]
+        age = F.coalesce(F.date_diff(F.lit(last), F.col(moment).cast("date")), F.lit(0))
+        late = F.pmod(F.xxhash64(key), F.lit(5)) == 0
+        placed.append(fact.withColumn("_turn", F.when((age < 4) | late, 2).when(age < 14, 1).otherwise(0)))
+    for turn in range(3):
+        kept.advance(*(fact.where(F.col("_turn") == turn) for fact in placed))
+    return rounded_profile(kept.profile(f.devices.valid))
+
+
 @query("j07_i04_fraud_investigation", stated("""
 SELECT a.AlertID, a.CustomerID, a.Severity, a.AlertType, a.AlertTimestamp, t.TransactionID, t.Amount,
        t.TransactionType, t.Channel, t.TransactionTimestamp, t.RiskScore, t.RiskBand
