@@ -35,7 +35,7 @@ PART_BYTES = 12 << 20
 ANCHOR_BYTES = 48 << 20
 SHARD_BYTES = 6 << 20
 # Anchors a task gathers before it sends them to the shards.
-GATHERED = 3 << 19
+GATHERED = 1 << 18
 SLICE_BYTES = 1 << 20
 
 DIGEST = 16
