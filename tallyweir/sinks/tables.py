@@ -200,7 +200,9 @@ def vacuum(lake: Lake, table: str, keep: int = 2) -> list[str]:
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return []
-    versions = sorted(files.listStatus(folder), key=lambda s: -s.getModificationTime())
+    # Folders with an underscore are journals of merges, which may still have to be finished.
+    versions = [s for s in files.listStatus(folder) if not s.getPath().getName().startswith("_")]
+    versions.sort(key=lambda s: -s.getModificationTime())
     plain = lambda status: status.getPath().toUri().getPath().lstrip("/")
     superseded = [v for v in versions if not any((used + "/").startswith(plain(v) + "/") for used in live)]
     removed = []
