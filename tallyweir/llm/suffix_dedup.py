@@ -6,9 +6,9 @@
 2. *Shards*. A fragment goes to the shard of its anchor, so equal windows meet there. Equal fragments
    are merged within a task before they are sent, and again in the shard: however many documents
    hold a passage, one copy is sorted.
-3. *Induced sorting* (``suffix_sort``) of a shard's distinct fragments: neighbours in the suffix array
-   with a common prefix of ``length`` bytes are the same window, and of its documents all but the
-   smallest lose it.
+3. *Induced sorting* (``suffix_sort``) of a shard's distinct fragments, those that by the hashes of
+   their windows meet another one: neighbours in the suffix array with a common prefix of ``length``
+   bytes are the same window, and of its documents all but the smallest lose it.
 
 Texts, requests and results are grouped by ``part``, a hash of the document, of bounded size.
 """
@@ -31,8 +31,8 @@ from tallyweir.llm.suffix_sort import DEPTH, sort_suffixes
 LENGTH = 50
 GRAM = 16
 # Bytes of text behind a part, a shard of anchors and a shard of fragments, on average.
-PART_BYTES = 12 << 20
-ANCHOR_BYTES = 48 << 20
+PART_BYTES = 8 << 20
+ANCHOR_BYTES = 24 << 20
 SHARD_BYTES = 6 << 20
 # Anchors a task gathers before it sends them to the shards.
 GATHERED = 1 << 18
@@ -311,8 +311,43 @@ def _settled(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch], leng
     yield from _spans(part[entry], numbers[entry], starts[entry] + first[which], run[which] + length - 1)
 
 
+def _meeting(texts: list[bytes], length: int) -> np.ndarray:
+    """Numbers of the texts that have a window in common with another one.
+
+    Windows are compared by hash, so a few more may come along, but none is missed. A key is a hash whose
+    low bits are the text's number, so that one sort brings the texts of a window together.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    low = np.uint64((1 << max(1, len(texts).bit_length())) - 1)
+    keys, at = [], 0
+    while at < len(texts):
+        base = ends[at] - sizes[at]
+        stop = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        flat = np.frombuffer(b"".join(texts[at:stop]), np.uint8)
+        text = np.repeat(np.arange(at, stop), sizes[at:stop])
+        start = np.flatnonzero(np.arange(len(flat)) + length <= ends[text] - base)
+        up, down = powers(len(flat) + 1)
+        total = np.concatenate(([np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)])))
+        hashes = mixed((total[start + length] - total[start]) * down[start])
+        keys.append((hashes & ~low) | text[start].astype(np.uint64))
+        at = stop
+    sorted_keys = np.sort(np.concatenate(keys))
+    text, window = (sorted_keys & low).astype(np.int64), sorted_keys & ~low
+    meet = np.flatnonzero((window[1:] == window[:-1]) & (text[1:] != text[:-1]))
+    return np.unique(text[np.append(meet, meet + 1)])
+
+
 def _lost_windows(texts: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that a fragment's first document loses to a smaller one: fragment, first window, count."""
+    """Runs of windows that a fragment's first document loses to a smaller one: fragment, first window, count.
+
+    Only fragments that meet another one in a window are sorted.
+    """
+    chosen = _meeting(texts, length)
+    if not len(chosen):
+        forget_powers()
+        return (np.zeros(0, np.int64),) * 3
+    texts, least = [texts[c] for c in chosen.tolist()], least[chosen]
     sizes = np.array([len(t) for t in texts], np.int64)
     # Letters from 2 on are bytes; 1 ends a fragment and 0 the text.
     letters = np.frombuffer(b"\x00".join(texts) + b"\x00\x00", np.uint8).astype(np.uint16) + np.uint16(2)
@@ -337,7 +372,7 @@ def _lost_windows(texts: list[bytes], least: np.ndarray, length: int) -> tuple[n
     by = np.lexsort((offset, fragment))
     fragment, offset = fragment[by], offset[by]
     first = np.flatnonzero(np.append(True, (fragment[1:] != fragment[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(fragment) else np.zeros(0, np.int64)
-    return fragment[first], offset[first], np.diff(np.append(first, len(fragment)))
+    return chosen[fragment[first]], offset[first], np.diff(np.append(first, len(fragment)))
 
 
 def _trimmed(texts: pa.Table, spans: pa.Table, carried: list[str], as_text: bool) -> pa.Table:

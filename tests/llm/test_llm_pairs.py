@@ -168,6 +168,16 @@ def test_components_of_chains_stars_and_loops(frame):
 # --- suffixes ----------------------------------------------------------------------------------
 
 
+def test_only_texts_with_a_common_window_are_sorted():
+    rng = np.random.default_rng(3)
+    texts = sorted({bytes(rng.choice(list(b"ab"), int(n)).tolist()) for n in rng.integers(9, 14, 60)})
+    windows = [{t[i : i + 9] for i in range(len(t) - 8)} for t in texts]
+    met = [i for i, own in enumerate(windows) if any(own & other for j, other in enumerate(windows) if j != i)]
+    assert suffix_dedup._meeting(texts, 9).tolist() == met
+    assert 0 < len(met) < len(texts)
+    assert suffix_dedup._meeting([b"a" * 30], 9).tolist() == []
+
+
 @pytest.mark.parametrize("memory", [10, 1 << 20])
 def test_suffixes_and_common_prefixes(memory):
     rng = np.random.default_rng(memory)
