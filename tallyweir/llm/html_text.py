@@ -47,12 +47,38 @@ STEPS, RATE, RIDGE = 250, 0.1, 3e-4
 SAMPLE_PAGES = 300
 # Of at most so many bytes each.
 SAMPLE_PAGE_BYTES = 256 << 10
+# And of at most so many features over all its blocks, which deep pages exceed.
+SAMPLE_PAGE_FEATURES = 1 << 16
+
+
+class Link(NamedTuple):
+    """What an element adds to the features of the elements around it."""
+
+    above: int
+    added: tuple[int, ...]
+    size: int  # with all links above
 
 
 class Block(NamedTuple):
+    """A block; the features of its ancestors are links that blocks of a page share."""
+
     text: str
-    features: tuple[int, ...]
+    own: tuple[int, ...]
     label: int
+    link: int
+    links: list[Link]
+
+    @property
+    def features(self) -> tuple[int, ...]:
+        found, at = list(self.own), self.link
+        while at:
+            found += self.links[at].added
+            at = self.links[at].above
+        return tuple(found)
+
+    @property
+    def size(self) -> int:
+        return len(self.own) + self.links[self.link].size
 
 
 def _hashed(name: str) -> int:
@@ -62,14 +88,21 @@ def _hashed(name: str) -> int:
 class _Frame(NamedTuple):
     tag: str
     section: str  # the nearest section element, or element with a name, around a block
-    features: frozenset[int]
+    link: int
     label: int
 
 
 class _Blocks(HTMLParser):
+    """Every tag takes constant time on average, however deep or broken the page: open elements are found by their tag."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Frame("", "", frozenset(), 0)]
+        self.stack = [_Frame("", "", 0, 0)]
+        self.chain = [Link(0, (), 0)]
+        self.around: set[int] = set()  # features of all open elements
+        # Depths of open elements, the innermost last: by tag, those no implied end crosses, and those not inside a line.
+        self.open: dict[str, list[int]] = {}
+        self.scopes, self.outer = [0], [0]
         self.blocks: list[Block] = []
         self.pieces: list[str] = []
         self.linked = 0
@@ -81,13 +114,9 @@ class _Blocks(HTMLParser):
             self._end_block()
         if tag in VOID:
             return
-        for depth in range(len(self.stack) - 1, 0, -1):
-            open_tag = self.stack[depth].tag
-            if tag in CLOSED_BY.get(open_tag, ()):
-                self._pop(depth)
-                break
-            if open_tag in SCOPES and open_tag not in CLOSED_BY:
-                break
+        ended = max((self.open[t][-1] for t, by in CLOSED_BY.items() if tag in by and self.open.get(t)), default=0)
+        if ended > self.scopes[-1]:
+            self._pop(ended)
         above = self.stack[-1]
         label, names, section = above.label, [] if tag in INLINE else [f"in {tag}"], tag if tag in SECTIONS else above.section
         for key, value in attrs:
@@ -97,8 +126,18 @@ class _Blocks(HTMLParser):
                 found = NAME_WORDS.findall(value.lower())
                 names += [f"named {w}" for w in found]
                 section = found[0] if found and key != "role" else section
-        new = {_hashed(n) for n in names}
-        self.stack.append(_Frame(tag, section, above.features if new <= above.features else above.features | new, label))
+        link, new = above.link, {_hashed(n) for n in names} - self.around
+        if new:
+            self.chain.append(Link(above.link, tuple(sorted(new)), self.chain[above.link].size + len(new)))
+            link = len(self.chain) - 1
+            self.around |= new
+        depth = len(self.stack)
+        self.stack.append(_Frame(tag, section, link, label))
+        self.open.setdefault(tag, []).append(depth)
+        if tag in SCOPES and tag not in CLOSED_BY:
+            self.scopes.append(depth)
+        if tag not in INLINE:
+            self.outer.append(depth)
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
@@ -108,18 +147,21 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self._end_block()
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
-                self._pop(depth)
-                return
-            if tag in INLINE and self.stack[depth].tag not in INLINE:
-                return
+        opened = self.open.get(tag)
+        if opened and (tag not in INLINE or opened[-1] > self.outer[-1]):
+            self._pop(opened[-1])
 
     def _pop(self, depth: int) -> None:
-        for frame in self.stack[depth:]:
+        while len(self.stack) > depth:
+            frame = self.stack.pop()
+            self.open[frame.tag].pop()
+            if frame.link != self.stack[-1].link:
+                self.around.difference_update(self.chain[frame.link].added)
             self.unseen -= frame.tag in UNSEEN
             self.links -= frame.tag == "a"
-        del self.stack[depth:]
+        for depths in (self.scopes, self.outer):
+            while depths[-1] >= depth:
+                depths.pop()
 
     def handle_data(self, data):
         if not self.unseen:
@@ -132,8 +174,9 @@ class _Blocks(HTMLParser):
             whole = "".join(self.pieces)
             text = " ".join(whole.split())
             if text:
-                frame = next(f for f in reversed(self.stack) if f.tag not in INLINE)
-                self.blocks.append(Block(text, self._features(text, frame, self.linked / len(whole)), self.stack[-1].label))
+                frame = self.stack[self.outer[-1]]
+                own = self._features(text, frame, self.linked / len(whole))
+                self.blocks.append(Block(text, own, self.stack[-1].label, frame.link, self.chain))
             self.pieces, self.linked = [], 0
 
     def _features(self, text: str, frame: _Frame, linked: float) -> tuple[int, ...]:
@@ -142,7 +185,7 @@ class _Blocks(HTMLParser):
             f"parent {frame.tag}", f"section {frame.section}", f"{frame.tag} of section {frame.section}", f"words {min(words.bit_length(), 8)}", f"linked {int(linked * 4)}",
             f"stops {min(sum(map(text.count, '.,;!?')), 4)}", f"mark {'©' in text or '|' in text}", "any",
         )
-        return (*frame.features, *map(_hashed, own))
+        return tuple(map(_hashed, own))
 
     def close(self):
         super().close()
@@ -167,11 +210,19 @@ class Model(NamedTuple):
 def _flat(pages: Iterable[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature numbers of all blocks, each feature's block, and the pages' block counts."""
     blocks = [b for page in pages for b in page]
-    sizes = np.array([len(b.features) for b in blocks], np.int64)
+    sizes = np.array([b.size for b in blocks], np.int64)
     features = np.fromiter((f for b in blocks for f in b.features), np.int64, int(sizes.sum()))
     return features, np.repeat(np.arange(len(blocks)), sizes), sizes
 
 
+def page_scores(weights: list[float], page: list[Block]) -> list[float]:
+    """Scores of a page's blocks; what an element adds is summed once for all blocks below it."""
+    around: list[float] = []
+    for link in page[0].links if page else ():
+        around.append((around[link.above] if around else 0.0) + sum(weights[f] for f in link.added))
+    return [around[b.link] + sum(weights[f] for f in b.own) for b in page]
+
+
 def _scores(weights: np.ndarray, features: np.ndarray, owner: np.ndarray, blocks: int) -> np.ndarray:
     return np.bincount(owner, weights[features], minlength=blocks)
 
@@ -244,29 +295,28 @@ def train(pages: DataFrame | None = None, sample_pages: int = SAMPLE_PAGES) -> M
     """The model of the labelled pages and, if given, of ``sample_pages`` different ``pages`` with an article element.
 
     In those, blocks in the article and in no menu, header, footer, aside or form are the main text. Pages
-    of more than ``SAMPLE_PAGE_BYTES`` are not learned from, so that the sample is bounded in bytes; null
-    pages have no article.
+    of more than ``SAMPLE_PAGE_BYTES`` or ``SAMPLE_PAGE_FEATURES`` are not learned from, so that the sample
+    is bounded in memory; null pages have no article.
     """
     labelled = [blocks_of(page) for page in labelled_pages()]
     if pages is not None:
         marked = pages.select("html").where(F.contains("html", F.lit("<article")) & (F.octet_length("html") <= SAMPLE_PAGE_BYTES))
         for row in least_by_hash(marked, sample_pages, "html").collect():
             page = re.sub(r"<(nav|header|footer|aside|form)\b", rf'<\1 {LABEL}="0"', row.html)
-            labelled.append(blocks_of(re.sub(r"<article\b", f'<article {LABEL}="1"', page)))
+            blocks = blocks_of(re.sub(r"<article\b", f'<article {LABEL}="1"', page))
+            if sum(b.size for b in blocks) <= SAMPLE_PAGE_FEATURES:
+                labelled.append(blocks)
     return fit(labelled)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    weights = model.weights.tolist()
     for batch in batches:
         for rows in slices(batch, "html"):
-            pages = [blocks_of(page) for page in rows.column("html").to_pylist()]
-            features, owner, sizes = _flat(pages)
-            scores = _scores(model.weights, features, owner, len(sizes)).tolist()
-            texts, kept, at = [], [], 0
-            for page in pages:
-                labels = decode(model, scores[at : at + len(page)])
-                at += len(page)
-                main = [b.text for b, label in zip(page, labels, strict=True) if label]
+            texts, kept = [], []
+            for html in rows.column("html").to_pylist():
+                page = blocks_of(html)
+                main = [b.text for b, label in zip(page, decode(model, page_scores(weights, page)), strict=True) if label]
                 texts.append(" ".join(main))
                 kept.append(len(main))
             yield pa.RecordBatch.from_arrays(
@@ -280,7 +330,7 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
 
     The main text's blocks in page order, white space inside each as one space, joined by one space.
     A null or empty page, or one without main text, gives an empty text. Pages of any length are read
-    whole; broken markup is read as far as it goes; repeated rows are extracted each; other columns
+    whole; broken or deep markup is read as far as it goes, in time and memory that grow with its length; repeated rows are extracted each; other columns
     are ignored.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model)

@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import html
+import itertools
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,7 +134,6 @@ def test_what_is_not_the_article_goes(frame, model):
 
 
 def test_viterbi_is_the_best_of_all_paths(model):
-    import itertools
     import random
     rng = random.Random(2)
     for n in range(1, 7):
@@ -176,3 +177,23 @@ def test_damage_is_found_and_nothing_is_fine(spark, frame, folder):
     with pytest.raises(Exception, match="damaged payload"):
         warc.read_archive(spark, folder + "/b").select("payload").collect()
     assert warc.archive_pages(frame(PAGES), folder + "/none").count() == 0
+
+
+def test_broken_and_deep_pages_in_time_that_grows_with_their_length():
+    assert [b.text for b in html_text.blocks_of("<p>x" + "<b>y" * 100_000)] == ["x" + "y" * 100_000]
+    names = ["".join(letters) for letters in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=3)][:15_000]
+    deep = html_text.blocks_of("".join(f'<div class="{n}">w' for n in names))
+    assert len(deep) == len(names)
+    weights = np.random.default_rng(1).normal(size=1 << html_text.FEATURE_BITS).tolist()
+    scores = html_text.page_scores(weights, deep)
+    for at in (0, 7, 3_000, len(deep) - 1):
+        assert scores[at] == pytest.approx(sum(weights[f] for f in deep[at].features))
+        assert deep[at].size == len(deep[at].features)
+
+
+def test_elements_end_as_they_would_in_a_browser():
+    page = "<ul><li>a<li>b<ul><li>c</ul><li>d</ul><p>e<p>f<b>g</p>h</b><table><tr><td>i<td>j<tr><td>k</table></i>l"
+    blocks = html_text.blocks_of(page)
+    assert [b.text for b in blocks] == ["a", "b", "c", "d", "e", "fg", "h", "i", "j", "k", "l"]
+    parents = [html_text._hashed(f"parent {t}") for t in ("li", "li", "li", "li", "p", "p", "", "td", "td", "td", "")]
+    assert all(p in b.own for p, b in zip(parents, blocks, strict=True))
