@@ -36,7 +36,8 @@ ANCHOR_BYTES = 24 << 20
 SHARD_BYTES = 6 << 20
 # Anchors a task gathers before it sends them to the shards.
 GATHERED = 1 << 18
-SLICE_BYTES = 1 << 20
+# Bytes of text that are hashed at once; a longer text is taken in pieces. Arrays take a hundred times that.
+SLICE_BYTES = 1 << 18
 
 DIGEST = 16
 HASH_BYTES = 6
@@ -78,6 +79,15 @@ class _Runs(NamedTuple):
 
 
 def anchor_runs(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> _Runs:
+    """The runs of all rows' windows; a run that crosses the border of two pieces is two runs."""
+    found = [_piece_runs(flat, offsets, at, length, gram) for at in range(0, max(1, len(flat) - length + 1), SLICE_BYTES)]
+    return _Runs(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def _piece_runs(whole: np.ndarray, ends: np.ndarray, begin: int, length: int, gram: int) -> _Runs:
+    """Runs of the windows that start in the ``SLICE_BYTES`` from ``begin`` on."""
+    flat = whole[begin : begin + SLICE_BYTES + length - 1]
+    offsets = np.clip(ends - begin, 0, len(flat))
     n = len(flat)
     none = np.zeros(0, np.int64)
     if n < length:
@@ -102,7 +112,7 @@ def anchor_runs(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
     first[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     starts = np.flatnonzero(first)
     counts = np.diff(np.append(starts, len(anchor)))
-    return _Runs(hashes[anchor[starts]] >> np.uint64(16), row[starts], at[starts] - offsets[row[starts]], counts)
+    return _Runs(hashes[anchor[starts]] >> np.uint64(16), row[starts], at[starts] + begin - ends[row[starts]], counts)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], shards: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:

@@ -293,3 +293,19 @@ def test_recall_on_the_given_vectors(spark):
     assert len({(r.query_id, r.vec_id) for r in found} & truth) >= 0.9 * len(truth)
     assert ann.search(ann.build_index(vectors.limit(0)), queries).count() == 0
     assert ann.search(ann.build_index(vectors), queries.limit(0)).count() == 0
+
+
+def test_anchors_of_a_long_text_do_not_depend_on_the_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (40, 5_000, 0, 49, 50, 3_000)]
+    flat, offsets = np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+
+    def windows():
+        runs = suffix_dedup.anchor_runs(flat, offsets, 50, 16)
+        return {(int(r), int(s) + k, int(h)) for h, r, s, n in zip(*runs, strict=True) for k in range(n)}
+
+    whole = windows()
+    assert len(whole) == sum(max(0, len(t) - 49) for t in texts)
+    for piece in (64, 700, 1_024):
+        monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", piece)
+        assert windows() == whole
