@@ -271,7 +271,11 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
 
 def encode_report(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs``."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs``.
+
+    A null text is empty and has no tokens, as an empty one. Repeated rows are encoded each, texts of any length
+    whole; other columns are ignored, and an empty table gives none.
+    """
     sent = _definition(docs, vocabulary_path)
     # Both ways in one pass: one Python worker a task instead of two.
     both = docs.select("doc_id", "text").mapInArrow(

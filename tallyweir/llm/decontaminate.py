@@ -259,7 +259,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any hit word, with all their columns."""
+    """The rows of ``docs`` without any hit word, with all their columns.
+
+    Null and empty texts have no word and stay, repeated rows are judged each, a text is searched whole, and
+    without benchmark items all rows stay. Columns of any name beside ``doc_id`` and ``text`` are carried along.
+    """
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     packed = docs.select("doc_id", "text", F.struct(*rest).alias("rest") if rest else F.struct(F.lit(0)).alias("rest"))
     clean = mark_contamination(packed, benchmark, carry=("rest",), **options).where(F.size("spans") == 0)

@@ -253,7 +253,8 @@ def judge(urls: DataFrame, model: Model, rules: list[Rule], threshold: float = 0
 
     The verdict is the longest fitting rule's, else ``block`` where the trees give a share of at least
     ``threshold``. A null or malformed url has an empty host and path, so no rule fits and the trees
-    decide on its features. Repeated rows are judged each; other columns are ignored.
+    decide on its features. Repeated rows are judged each, also without a key; urls of any length are read whole,
+    an empty table gives no rows, and other columns are ignored.
     """
     rows = with_host_and_path(urls.select(F.col(key).alias("key"), "url")).withColumn("suffix", suffix_of(F.col("host")))
     features = lexical_features()
@@ -270,7 +271,11 @@ def judge(urls: DataFrame, model: Model, rules: list[Rule], threshold: float = 0
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``url, blocked``: a page carries the label of the document its path ends with; blocked if toxic or of no quality."""
+    """``url, blocked``: a page carries the label of the document its path ends with; blocked if toxic or of no quality.
+
+    A document with several labels gives a row for each; null urls, paths without such a number and labels with a
+    null give none.
+    """
     number = F.try_to_number(F.nullif(F.regexp_extract("path", r"/(\d{1,18})(?:\.html)?/?$", 1), F.lit("")), F.lit("9" * 18))
     known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(
         F.col("doc_id").alias("number"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("blocked")
