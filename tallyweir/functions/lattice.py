@@ -25,21 +25,22 @@ WIDENED = {frozenset(("whole", "fractional")): "fractional"}
 ABSENT = "null"
 
 
+# Kind of each type that a variant tells, without its parameters.
+TYPES = {
+    "BIGINT": "whole", "DECIMAL": "fractional", "DOUBLE": "fractional", "FLOAT": "fractional",
+    "BOOLEAN": "boolean", "STRING": "text", "OBJECT": "object", "ARRAY": "array",
+}
+
+
 def kind_of(value: Column) -> Column:
     """Kind of a variant; ``null`` for a JSON null and for NULL.
 
-    A whole number beyond 64 bits, or written with a fraction or an exponent, is fractional.
+    A whole number beyond 64 bits, or written with a fraction or an exponent, is fractional. The type is asked
+    for once: it takes a walk through the whole value.
     """
-    own = F.schema_of_variant(value)
-    return (
-        F.when(own == "BIGINT", "whole")
-        .when(own.startswith("DECIMAL") | own.isin("DOUBLE", "FLOAT"), "fractional")
-        .when(own == "BOOLEAN", "boolean")
-        .when(own == "STRING", "text")
-        .when(own.startswith("OBJECT"), "object")
-        .when(own.startswith("ARRAY"), "array")
-        .otherwise(ABSENT)
-    )
+    own = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    kinds = F.create_map(*(F.lit(x) for pair in TYPES.items() for x in pair))
+    return F.coalesce(F.try_element_at(kinds, own), F.lit(ABSENT))
 
 
 def join_kinds(before: str | None, after: str | None) -> tuple[str | None, bool]:

@@ -69,7 +69,7 @@ def _(f):
 
 def _session_files(f: Frames) -> str:
     folder = shared_folder(f.spark, "sessions") + "/digitalSessions"
-    bindings.session_lines(f.sources.digital_sessions).write.text(folder)
+    bindings.session_lines(f.sources.spread_sessions).write.text(folder)
     return folder
 
 
@@ -123,11 +123,12 @@ WHERE n % 2 = 0 OR n % 3 <> 0"""))
 def _(f):
     """Two loads: numbers widen, booleans and arrays meet other kinds, two properties are new, one is missing at times."""
     folder, lake = shared_folder(f.spark, "evolving"), f.lake("evolving")
-    accepted = f.sources.digital_sessions.where("device LIKE '%}' AND customerId IS NOT NULL")
+    accepted = f.sources.spread_sessions.where("device LIKE '%}' AND customerId IS NOT NULL")
     number = "cast(substr(id, 9) as bigint)"
     for name, condition, properties in (("first", "n % 3 <> 0", _FIRST_PROPERTIES), ("second", "n % 2 = 0", _SECOND_PROPERTIES)):
-        lines = bindings.session_lines(accepted).selectExpr("value", "get_json_object(value, '$.id') AS id")
-        lines = lines.selectExpr("value", f"{number} AS n").where(condition)
+        # Chosen by the id before the line is made, which a later choice would make several times over.
+        chosen = accepted.selectExpr("*", f"{number} AS n").where(condition)
+        lines = bindings.session_lines(chosen, "n")
         lines = lines.selectExpr(f"concat(substr(value, 1, length(value) - 1), {properties}, '}}') AS value")
         lines.write.text(f"{folder}/{name}")
         evolution.load_evolving(lake, f"{folder}/{name}", "digitalSessions")
@@ -1090,7 +1091,7 @@ SELECT id, customerId, sessionId, CASE WHEN {_ACCEPTED} THEN device ELSE '{{}}'
 FROM src_sessions WHERE customerId IS NOT NULL"""))
 def _(f):
     folder = shared_folder(f.spark, "stream")
-    sessions = f.sources.digital_sessions
+    sessions = f.sources.spread_sessions
     earlier = sessions.withColumn("sessionRiskScore", F.lit(-1)).withColumn("device", F.lit("{}"))
     for version in (earlier, sessions):
         # Arrives in the same folder; the second load replaces the documents it has an acceptable line for.
@@ -1110,7 +1111,7 @@ UNION ALL SELECT 'rejected', count(*) FILTER (NOT ({_ACCEPTED})) FROM src_sessio
 UNION ALL SELECT 'in all', count(*) FROM src_sessions"""))
 def _(f):
     folder = shared_folder(f.spark, "rejects")
-    bindings.session_lines(f.sources.digital_sessions).write.text(f"{folder}/in")
+    bindings.session_lines(f.sources.spread_sessions).write.text(f"{folder}/in")
     streaming.start_ingest(
         f.spark, f"{folder}/in", "digitalSessions", f"{folder}/log", f"{folder}/checkpoint",
         rejects=f"{folder}/rejects",

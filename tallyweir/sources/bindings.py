@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweir.session import configure, size_tasks
 from tallyweir.sources.tables import read_table
@@ -182,14 +182,14 @@ def fraud_alerts(events: DataFrame, orders: DataFrame | None) -> DataFrame:
     )
 
 
-def session_lines(sessions: DataFrame) -> DataFrame:
-    """Sessions as JSON lines with their nested parts as real JSON; broken parts make broken lines."""
+def session_lines(sessions: DataFrame, *carry: str) -> DataFrame:
+    """Sessions as JSON lines with their nested parts as real JSON; broken parts make broken lines. ``carry`` stay beside them."""
     text = ("id", "sessionId", "customerId", "loginTimestamp", "logoutTimestamp", "ipAddress")
     nested = ("device", "geo", "authentication", "activities", "sessionRiskScore", "synthetic")
     properties = [f"""concat('"{name}":"', {name}, '"')""" for name in text]
     properties += [f"""concat('"{name}":', cast({name} as string))""" for name in nested]
     # concat_ws leaves out NULLs: an absent value is an absent property.
-    return sessions.selectExpr(f"concat('{{', concat_ws(',', {', '.join(properties)}), '}}') AS value")
+    return sessions.selectExpr(f"concat('{{', concat_ws(',', {', '.join(properties)}), '}}') AS value", *carry)
 
 
 @dataclass(frozen=True)
@@ -230,6 +230,14 @@ class Sources:
     def unlinked_fraud_alerts(self) -> DataFrame:
         return fraud_alerts(self.driver("events"), None)
 
+    @property
+    def spread_sessions(self) -> DataFrame:
+        """``digital_sessions`` dealt to all cores while they are narrow, for writing documents out.
+
+        However few splits the scan has, the texts are not made by as few tasks.
+        """
+        return digital_sessions(self.driver("events").hint("rebalance", F.col("event_id")))
+
     def by_name(self) -> dict[str, DataFrame]:
         return {
             "transactions": self.transactions,

@@ -23,6 +23,8 @@ from tallyweir.sources.documents import LOAD_ORDER, document_schema, load_positi
 from tallyweir.sources.tables import rows_frame
 
 STATE_SUFFIX = "_properties"
+# Beside a container's table: what its last load brought, one version a key.
+BATCH_SUFFIX = "_batch"
 # More different properties than this in one load are data in the keys: an error, not a wider table.
 MAX_PROPERTIES = 10_000
 _TEXT, _VALUES = "_text", "_values"
@@ -45,12 +47,13 @@ def document_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of document files as maps from property to variant, with where each lay; blank ones are skipped.
 
     A line that is no object, names a property twice or lacks a part of the document key stops the job and names
-    its file.
+    its file. The check asks for the line's place, without which Spark would move it below the parsing and parse each
+    line again for every mention of a key.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
     values = F.try_parse_json("value").try_cast("map<string, variant>")
     found = lines.select(F.col("value").alias(_TEXT), values.alias(_VALUES), *load_position())
-    keyed = F.lit(True)
+    keyed = F.col("_line") >= 0
     for column in model.DOCUMENT_KEY:
         keyed = keyed & (F.try_variant_get(F.col(_VALUES)[column], "$", "string") != "")
     complaint = F.concat(F.col("_file"), F.lit(": 'id' and 'customerId' are required: "), F.substring(_TEXT, 1, 200))
@@ -62,12 +65,13 @@ def document_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def inferred(lines: DataFrame, known: Iterable[str]) -> dict[str, set[str]]:
     """Kinds of the values of every property but the ``known``, in one aggregation folded map-side.
 
-    The driver gets a row for each property and kind; more than ``MAX_PROPERTIES`` properties stop the job.
+    Only the values of the others are looked into. The driver gets a row for each property and kind; more than
+    ``MAX_PROPERTIES`` properties stop the job.
     """
-    pairs = (
-        lines.select(F.explode(F.transform_values(_VALUES, lambda _, value: kind_of(value))).alias("property", "kind"))
-        .where(~F.col("property").isin(*known)).distinct()
-    )
+    # Outer: before another explode Spark drops lines without properties, and with them those that the check is for.
+    values = lines.select(F.explode_outer(_VALUES).alias("property", "value"))
+    others = values.where(~F.col("property").isin(*known))
+    pairs = others.select("property", kind_of(F.col("value")).alias("kind")).distinct()
     bound = MAX_PROPERTIES * (len(KINDS) + 1)
     found: dict[str, set[str]] = {}
     for row in pairs.limit(bound + 1).collect():
@@ -156,6 +160,8 @@ def load_evolving(lake: Lake, path: str | list[str], container: str) -> Load:
 
     Of a key's versions the one loaded last stays, whole: a property it omits becomes NULL. The properties
     are published first: a load that is lost before the documents are is repeated under the same columns.
+    Beside earlier documents the load's own are written by themselves, since the merge reads them twice and
+    parsing is the larger part of the work.
     """
     lines = document_lines(lake.spark, path)
     after = evolved(stored_properties(lake, container), inferred(lines, document_schema(container).names))
@@ -163,6 +169,8 @@ def load_evolving(lake: Lake, path: str | list[str], container: str) -> Load:
     overwrite(lake, rows_frame(lake.spark, state, STATE_SCHEMA).coalesce(1), container + STATE_SUFFIX)
     newest = latest_documents(read_evolved(lines, container, after), LOAD_ORDER)
     if lake.exists(container):
+        overwrite(lake, newest, container + BATCH_SUFFIX)
+        newest = lake.read(container + BATCH_SUFFIX)
         target = widened(lake.read(container), container, after)
         keys = list(model.DOCUMENT_KEY)
         newest = newest.unionByName(target.join(newest.select(*keys), keys, "left_anti"))

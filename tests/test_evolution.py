@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyweir.functions.lattice import join_all, join_kinds
-from tallyweir.sources import evolution
+from tallyweir.sources import bindings, evolution
 from tallyweir.sources.documents import document_schema
 
 
@@ -125,3 +126,20 @@ def test_inference_is_one_shuffle_of_folded_pairs(spark, folder):
     read = evolution.read_evolved(lines, "devices", [evolution.Property("a", "whole", False)])
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_a_line_is_parsed_once_and_a_batch_folded_once(spark, lake, folder, load):
+    load(device(1, visits=7))
+    load(device(1, visits=8), device(2))
+    kept = lake.read("devices" + evolution.BATCH_SUFFIX)
+    assert sorted((r["id"], r["visits"]) for r in kept.collect()) == [("D1", 8), ("D2", None)]
+    assert {k: r["visits"] for k, r in stored(lake).items()} == {"D1": 8, "D2": None}
+    lines = evolution.document_lines(spark, f"{folder}/load-1")
+    plan = lines.select(F.explode_outer("_values"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1
+
+
+def test_sessions_are_dealt_out_before_their_lines_are_made(spark):
+    lines = bindings.session_lines(bindings.Sources(spark, "/root/testdata/sf0.001").spread_sessions, "id")
+    dealt = lines._jdf.queryExecution().executedPlan().toString().split("REBALANCE")
+    assert len(dealt) == 2 and "date_format" in dealt[0] and "date_format" not in dealt[1]
