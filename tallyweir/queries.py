@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -864,14 +864,24 @@ def _(f):
 
 @query("j05_risk_profile_daily", stated("SELECT * FROM profile", 30))
 def _(f):
-    """Three advances: what is older than a fortnight, the next ten days, the rest with late rows of all days."""
-    kept = DailyProfile(f.lake("daily"))
+    """Three advances: what is older than a fortnight, the next ten days, the rest with late rows of all days.
+
+    The facts are built once and kept, as in a refresh: every advance reads them again, and so does what deals them out.
+    """
+    lake = f.lake("daily")
+    kept = DailyProfile(lake)
     facts = (
-        (f.fact_transactions, "TransactionTimestamp", "TransactionID"),
-        (f.fact_sessions, "LoginTimestamp", "SessionID"), (f.unlinked_alerts, "AlertTimestamp", "AlertID"),
+        (f.fact_transactions, "TransactionTimestamp", "TransactionID", ("Amount", "RiskBand", "RiskScore")),
+        (f.fact_sessions, "LoginTimestamp", "SessionID", ("DeviceID", "GeoCountry", "AuthFailedAttempts")),
+        (f.unlinked_alerts, "AlertTimestamp", "AlertID", ()),
     )
+    sinks.side_by_side(lake, {
+        f"arrived_{key}": partial(sinks.overwrite, lake, fact.select("CustomerID", key, moment, *rest), f"arrived_{key}")
+        for fact, moment, key, rest in facts
+    })
     placed = []
-    for fact, moment, key in facts:
+    for _, moment, key, _ in facts:
+        fact = lake.read(f"arrived_{key}")
         last = fact.agg(F.max(F.col(moment).cast("date"))).first()[0]
         age = F.coalesce(F.date_diff(F.lit(last), F.col(moment).cast("date")), F.lit(0))
         late = F.pmod(F.xxhash64(key), F.lit(5)) == 0

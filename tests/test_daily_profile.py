@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweir import queries
 from tallyweir.plans import daily_profile
 from tallyweir.plans.daily_profile import DailyProfile
 from tallyweir.plans.risk_profile import customer_risk_profile
@@ -128,3 +129,14 @@ def test_state_keeps_its_window_length(lake, frames):
     assert DailyProfile(lake, days=7).advance(*frames(empty)) [:4] == (1, 7, None, None)
     with pytest.raises(ValueError, match="windows of 7 days"):
         DailyProfile(lake, days=8).advance(*frames(empty))
+
+
+def test_the_query_builds_each_fact_once(spark, monkeypatch):
+    built = []
+    overwrite = queries.sinks.overwrite
+    monkeypatch.setattr(queries.sinks, "overwrite", lambda lake, df, name: (built.append(name), overwrite(lake, df, name))[1])
+    taken, advance = [], queries.DailyProfile.advance
+    monkeypatch.setattr(queries.DailyProfile, "advance", lambda self, *facts: (taken.extend(facts), advance(self, *facts))[1])
+    queries.QUERIES["j05_risk_profile_daily"](spark, "/root/testdata/sf0.001")
+    assert sorted(built) == ["arrived_AlertID", "arrived_SessionID", "arrived_TransactionID"] and len(taken) == 9
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in taken)
