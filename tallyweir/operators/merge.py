@@ -19,6 +19,7 @@ _KNOWN = "_known"
 _MATCHED = "_matched"
 _ROWS = "_source_rows"
 _NEW = "_new_"
+_DEALT = "_dealt"
 
 
 def merge_insert_missing(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
@@ -72,8 +73,10 @@ def latest_documents(
 ) -> DataFrame:
     """Last write per document key, in the order of ``written``; equal moments fall back to a hash of the content.
 
-    An aggregate rather than a ranking window: copies of one document fold map-side, so a key with
-    any number of versions never lands whole in one task.
+    An aggregate rather than a ranking window: copies of one document fold before they are brought together,
+    so a key with any number of versions never lands whole in one task. The fold sorts what it is given. Versions
+    are therefore dealt out first, in parts of a bounded size that Spark may split within a key; splits of a
+    compressed log hold any amount.
     """
     order = [F.col(item) if isinstance(item, str) else item for item in written]
     names = [item for item in written if isinstance(item, str)]
@@ -81,7 +84,9 @@ def latest_documents(
     document = F.struct(*(F.col(f"`{name}`") for name in body))
     # A hash as tie-breaker instead of the document, which the buffer would then hold twice.
     newest = F.max_by(document, F.struct(*order, F.xxhash64(F.to_json(document))))
-    kept = versions.groupBy(*keys).agg(newest.alias("_document")).select(*keys, "_document.*")
+    # By a hash, which is no key to Spark: the parts of a key that it splits meet after the fold.
+    dealt = versions.withColumn(_DEALT, F.xxhash64(*keys)).hint("rebalance", F.col(_DEALT))
+    kept = dealt.groupBy(*keys).agg(newest.alias("_document")).select(*keys, "_document.*")
     return kept.select(*(F.col(f"`{name}`") for name in versions.columns if name not in names))
 
 

@@ -146,3 +146,11 @@ def test_document_batch_turns_sessions_into_anomalies(spark, sources, profile_of
     assert profile["FraudAlertCount"] == 2 and profile["FailedLoginCount"] == 1
     changed = after["fraudAlerts"].where(F.col("id") == "ALERT-00000001").first()
     assert changed["status"] == "investigating" and changed["resolution"] is None
+
+
+def test_versions_are_dealt_out_before_the_fold_and_a_key_meets_after_it(frame):
+    versions = frame("id string, customerId string, x int, n int", ("a", "c", 1, 1), ("a", "c", 2, 3), ("a", "c", 3, 2))
+    latest = merge.latest_documents(versions, ["n"])
+    assert [r["x"] for r in latest.collect()] == [2] and latest.columns == ["id", "customerId", "x"]
+    plan = latest._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions [_dealt" in plan
